@@ -6,6 +6,8 @@ from importlib import import_module
 
 NAMES = {
     "op1_decontaminate": "decontaminate",
+    "op3_language": "language",
+    "op9_quality_rules": "quality",
     "op10_byte_bpe": "bpe",
 }
 

@@ -20,3 +20,23 @@ i AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS l FRO
 SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(l, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN i USING (doc_id)
 """
+
+ORACLE["op9_quality_rules"] = r"""
+WITH d AS (SELECT doc_id, coalesce(source, chr(0)) AS host, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+lines AS (SELECT doc_id, host, t, l, i, regexp_extract_all(l, '[^\x20\x09-\x0D]+') AS lw
+          FROM (SELECT doc_id, host, t, string_split(t, chr(10)) AS ls FROM d), unnest(ls) WITH ORDINALITY AS x(l, i)),
+worded AS (SELECT *, translate(array_to_string(lw, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000') AS k FROM lines WHERE len(lw) > 0),
+dups AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM worded GROUP BY doc_id),
+win AS (SELECT doc_id, p, array_to_string(w[p : p + 4], ' ') AS g FROM d, unnest(range(1, len(w) - 3)) AS x(p) WHERE len(w) >= 5),
+rep AS (SELECT doc_id, p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM win) WHERE c > 1),
+reps AS (SELECT doc_id, count(DISTINCT q) AS n FROM rep, unnest(range(p, p + 5)) AS x(q) GROUP BY doc_id),
+hosts AS (SELECT host, count(DISTINCT t) AS docs FROM d GROUP BY host),
+over AS (SELECT host, k FROM (SELECT host, k, count(DISTINCT t) AS n FROM worded GROUP BY host, k) JOIN hosts USING (host) WHERE n >= 10 AND n >= docs * 0.01),
+lost AS (SELECT doc_id, sum(len(lw)) AS n FROM worded JOIN over USING (host, k) GROUP BY doc_id),
+o AS (SELECT d.doc_id, len(w) AS n_words, coalesce(length(array_to_string(w, '')), 0) AS word_chars,
+      CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+      CAST(coalesce(dups.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(reps.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(lost.n, 0) AS BIGINT) AS n_removed_words
+      FROM d LEFT JOIN dups USING (doc_id) LEFT JOIN reps USING (doc_id) LEFT JOIN lost USING (doc_id))
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT (n_removed_words > n_words * 0.5 OR n_words - n_removed_words < 10) AS kept FROM o
+"""
