@@ -87,12 +87,25 @@ class Bits:
         return out
 
 
+#: Bytes of a batch that a kernel works on at once; a single longer row makes a batch of its own.
+PIECE = 4 << 20
+
+
+def pieces(batch):
+    """The batch in slices of consecutive rows of about PIECE bytes."""
+    n, size = batch.num_rows, batch.nbytes
+    if size <= PIECE or n == 1:
+        return [batch]
+    half = n // 2
+    return [*pieces(batch.slice(0, half)), *pieces(batch.slice(half))]
+
+
 def arrow_map(df: DataFrame, f: Callable, schema: str) -> DataFrame:
-    """mapInArrow with f(batch) -> batch or None."""
+    """mapInArrow with f(batch) -> batch or None, over batches of bounded size."""
 
     def run(batches):
-        for b in batches:
-            if b.num_rows:
+        for whole in batches:
+            for b in pieces(whole) if whole.num_rows else []:
                 out = f(b)
                 if out is not None and out.num_rows:
                     yield out
