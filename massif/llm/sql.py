@@ -40,3 +40,12 @@ o AS (SELECT d.doc_id, len(w) AS n_words, coalesce(length(array_to_string(w, '')
 SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
        NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT (n_removed_words > n_words * 0.5 OR n_words - n_removed_words < 10) AS kept FROM o
 """
+
+ORACLE["op7_warc"] = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+q AS (SELECT page_id, octet_length(b) AS n, sha256(b) AS d, min(page_id) OVER (PARTITION BY b) AS least FROM p)
+SELECT page_id, n AS payload_bytes, d AS payload_digest,
+       CASE WHEN n >= 100 AND page_id > least THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND page_id > least THEN least END AS refers_to
+FROM q
+"""
