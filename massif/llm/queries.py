@@ -7,6 +7,8 @@ from importlib import import_module
 NAMES = {
     "op1_decontaminate": "decontaminate",
     "op3_language": "language",
+    "op4_pii": "pii",
+    "op6_secrets": "secrets",
     "op7_warc": "warc",
     "op9_quality_rules": "quality",
     "op10_byte_bpe": "bpe",
