@@ -10,6 +10,7 @@ NAMES = {
     "op4_pii": "pii",
     "op6_secrets": "secrets",
     "op7_warc": "warc",
+    "op8_chat_format": "chat",
     "op9_quality_rules": "quality",
     "op10_byte_bpe": "bpe",
 }

@@ -49,3 +49,14 @@ SELECT page_id, n AS payload_bytes, d AS payload_digest,
        CASE WHEN n >= 100 AND page_id > least THEN least END AS refers_to
 FROM q
 """
+
+_ROLE = r"replace(replace(replace(replace(role, '\', '\s'), '###', '\h'), '</turn>', '\t'), ':', '\c')"
+_TEXT = r"replace(replace(replace(text, '\', '\s'), '###', '\h'), '</turn>', '\t')"
+ORACLE["op8_chat_format"] = rf"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS s,
+      coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS l,
+      CAST(sum(14 + length({_ROLE}) + length({_TEXT})) AS BIGINT) AS formatted_chars FROM c GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(s) AS turns_sha256, length(l) AS loss_chars, sha256(l) AS loss_sha256, formatted_chars FROM g
+"""
