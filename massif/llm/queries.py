@@ -6,6 +6,7 @@ from importlib import import_module
 
 NAMES = {
     "op1_decontaminate": "decontaminate",
+    "op2_jaccard": "jaccard",
     "op3_language": "language",
     "op4_pii": "pii",
     "op6_secrets": "secrets",
