@@ -9,6 +9,7 @@ NAMES = {
     "op2_jaccard": "jaccard",
     "op3_language": "language",
     "op4_pii": "pii",
+    "op5_passages": "passages",
     "op6_secrets": "secrets",
     "op7_warc": "warc",
     "op8_chat_format": "chat",
