@@ -173,11 +173,34 @@ def label_words(m: Model, text: pa.Array) -> tuple[T.Words, np.ndarray]:
 
 
 def sample(docs: DataFrame, text: str, lang: str, key, rows: int) -> list[tuple[str, str]]:
-    """At most so many labelled rows of each language, the least by a hash of the key."""
-    one = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("t"), F.col(lang).alias("lang"), F.xxhash64(key).alias("h"))
-    ranked = one.selectExpr("*", "row_number() OVER (PARTITION BY lang ORDER BY h, t) AS n").where(f"n <= {rows}")
+    """At most so many labelled rows of each language, the least by a hash of the key.
+
+    A histogram of the hashes (16 bins for each power of two) tells where to cut, so that
+    only about so many rows of each language are ever sorted or sent.
+    """
+    grade = F.floor(F.log2(F.shiftrightunsigned(F.xxhash64(key), 2) + 1.0) * 16).cast("int")
+    one = docs.where(F.col(lang).isNotNull()).select(F.col(text).alias("t"), F.col(lang).alias("lang"), F.xxhash64(key).alias("h"), grade.alias("grade")).where(F.col("t").isNotNull())
+    counts: dict[str, list[tuple[int, int]]] = {}
+    for r in one.groupBy("lang", "grade").count().collect():
+        counts.setdefault(r["lang"], []).append((r["grade"], r["count"]))
+    cuts = []
+    for name, bins in sorted(counts.items()):
+        n = 0
+        for g, c in sorted(bins):
+            n += c
+            if n >= rows:
+                break
+        cuts.append((name, g))
+    if not cuts:
+        return []
+    wanted = F.lit(False)
+    for name, g in cuts:
+        wanted = wanted | ((F.col("lang") == name) & (F.col("grade") <= g))
     cut = F.array_join(F.slice(F.split(F.trim(F.col("t")), r"\s+", SAMPLE_WORDS + 1), 1, SAMPLE_WORDS), " ")
-    return [(r["t"], r["lang"]) for r in ranked.select("lang", "h", cut.alias("t")).orderBy("lang", "h", "t").collect()]
+    taken: dict[str, list[tuple[int, str]]] = {}
+    for r in one.where(wanted).select("lang", F.shiftrightunsigned("h", 2).alias("h"), cut.alias("t")).collect():
+        taken.setdefault(r["lang"], []).append((r["h"], r["t"]))
+    return [(t, name) for name in sorted(taken) for _, t in sorted(taken[name])[:rows]]
 
 
 def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
