@@ -23,7 +23,8 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from .plans import terrain  # noqa: F401  registers its queries
+    from .streaming import events  # noqa: F401
+    from .plans import classes, network, terrain  # noqa: F401  registers its queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
