@@ -37,18 +37,41 @@ def roots_and_counts(nodes: DataFrame) -> DataFrame:
     return x.select("tile_id", "id", "root", "acc")
 
 
+def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, label) of every node of an edge table of longs: label is the least node that it is connected with.
+
+    Each round points every node at its least neighbour, follows pointers to
+    pointers, and contracts the edges to what the pointers say; the graph that
+    is left shrinks by a constant factor, however long its paths are.  The
+    pointers of all rounds, one after another, are the labels.
+    """
+    left = stored(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct(), "edges")
+    nodes = left.select(F.col("u").alias("node")).unionByName(left.select(F.col("v").alias("node"))).distinct()
+    rounds = []
+    while not left.isEmpty():
+        both = left.unionByName(left.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        point = stored(both.groupBy("u").agg(F.least("u", F.min("v")).alias("p")), "pointers")
+        for _ in range(2):
+            ahead = point.select(F.col("u").alias("p"), F.col("p").alias("q"))
+            point = point.join(ahead, "p").select("u", F.col("q").alias("p"))
+        point = stored(point, "pointers")
+        rounds.append(point)
+        x = point.select(F.col("u"), F.col("p").alias("x"))
+        y = point.select(F.col("u").alias("v"), F.col("p").alias("y"))
+        left = stored(left.join(x, "u").join(y, "v").where("x <> y").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct(), "edges")
+    out = nodes.select("node", F.col("node").alias("label"))
+    for point in rounds:
+        step = point.select(F.col("u").alias("label"), "p")
+        out = out.join(step, "label", "left").select("node", F.coalesce("p", "label").alias("label"))
+    return stored(out, "labels")
+
+
 def components(mask: DataFrame, diagonal: bool, side: int = R.SIDE) -> DataFrame:
     """(tile_id, id, label) of the cells (tile_id, r, c) of a mask: label is the least id of the 4- or 8-connected component."""
-    n = stored(mask.select("tile_id", "r", "c", (F.col("r") * side + F.col("c")).alias("id")), "mask")
-    steps = [(dr, dc) for _, dr, dc in R.D8 if diagonal or not (dr and dc)]
-    near = n.select("tile_id", F.col("id").alias("v"), F.explode(F.array(*[F.struct((F.col("r") + dr).alias("r"), (F.col("c") + dc).alias("c")) for dr, dc in steps])).alias("o")).select("tile_id", "v", "o.r", "o.c")
-    edges = stored(n.join(near, ["tile_id", "r", "c"]).select("tile_id", F.col("id").alias("u"), "v"), "edges")
-    labels = n.select("tile_id", "id", F.col("id").alias("label"))
-    while True:
-        best = edges.join(labels.select("tile_id", F.col("id").alias("v"), "label"), ["tile_id", "v"]).groupBy("tile_id", F.col("u").alias("id")).agg(F.min("label").alias("near"))
-        step = labels.join(best, ["tile_id", "id"], "left").select("tile_id", "id", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label"))
-        jump = labels.select("tile_id", F.col("id").alias("label"), F.col("label").alias("jump"))
-        step = stored(step.join(jump, ["tile_id", "label"], "left").select("tile_id", "id", "old", F.least("label", "jump").alias("label")), "labels")
-        labels = step.select("tile_id", "id", "label")
-        if step.where("label <> old").isEmpty():
-            return labels
+    area = side * side
+    n = stored(mask.select("tile_id", "r", "c", (F.col("tile_id") * area + F.col("r") * side + F.col("c")).alias("node")), "mask")
+    steps = [(dr, dc) for _, dr, dc in R.D8 if (dr, dc) > (0, 0) and (diagonal or not (dr and dc))]  # each pair once
+    near = n.select("tile_id", F.col("node").alias("v"), F.explode(F.array(*[F.struct((F.col("r") + dr).alias("r"), (F.col("c") + dc).alias("c")) for dr, dc in steps])).alias("o")).select("tile_id", "v", "o.r", "o.c")
+    edges = n.join(near, ["tile_id", "r", "c"]).select(F.col("node").alias("a"), F.col("v").alias("b"))
+    labels = n.join(connected(edges), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    return labels.select("tile_id", (F.col("node") % area).alias("id"), (F.col("label") % area).alias("label"))

@@ -9,16 +9,22 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 SIDE, CELL = 64, 90.0
 #: The eight neighbours in the order in which ties are broken: name, row and column offset, distance in cells.
 D8 = (("n", -1, 0), ("ne", -1, 1), ("e", 0, 1), ("se", 1, 1), ("s", 1, 0), ("sw", 1, -1), ("w", 0, -1), ("nw", -1, -1))
 
-ROW = Window.partitionBy("tile_id", "r").orderBy("c")
-COL = Window.partitionBy("tile_id", "c").orderBy("r")
-TILE = Window.partitionBy("tile_id")
+def _windows() -> dict[str, WindowSpec]:
+    """Windows along rows, along columns and over tiles; they need a session, so they are made when first used."""
+    return {"ROW": Window.partitionBy("tile_id", "r").orderBy("c"), "COL": Window.partitionBy("tile_id", "c").orderBy("r"), "TILE": Window.partitionBy("tile_id")}
+
+
+def __getattr__(name: str) -> WindowSpec:
+    if name in ("ROW", "COL", "TILE"):
+        return _windows()[name]
+    raise AttributeError(name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,7 +37,7 @@ def tiles_of(rows: DataFrame, side: int = SIDE, least_valid: float = 1.0) -> Dat
     A tile is kept if at least this share of its cells has a value.
     """
     lines = rows.select(F.floor(F.col("line") / side).cast("long").alias("tile_id"), (F.col("line") % side).cast("int").alias("r"), "values").repartition("tile_id")
-    valid = F.sum(F.size(F.filter("values", lambda v: v.isNotNull() & ~F.isnan(v)))).over(TILE)
+    valid = F.sum(F.size(F.filter("values", lambda v: v.isNotNull() & ~F.isnan(v)))).over(_windows()["TILE"])
     kept = lines.withColumn("_valid", valid).where(F.col("_valid") >= least_valid * side * side)
     return kept.select("tile_id", "r", F.posexplode("values").alias("c", "z")).where(F.col("c") < side).select("tile_id", "r", "c", F.when(~F.isnan("z"), F.col("z")).alias("z"))
 
@@ -62,11 +68,11 @@ def geom_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def with_neighbours(cells: DataFrame, column: str = "z") -> DataFrame:
     """cells with the eight neighbours' values as n, ne, e, se, s, sw, w, nw (r - 1 is north)."""
-    x = cells.withColumn("w", F.lag(column).over(ROW)).withColumn("e", F.lead(column).over(ROW))
+    x = cells.withColumn("w", F.lag(column).over(_windows()["ROW"])).withColumn("e", F.lead(column).over(_windows()["ROW"]))
     for name, of in (("nw", "w"), ("n", column), ("ne", "e")):
-        x = x.withColumn(name, F.lag(of).over(COL))
+        x = x.withColumn(name, F.lag(of).over(_windows()["COL"]))
     for name, of in (("sw", "w"), ("s", column), ("se", "e")):
-        x = x.withColumn(name, F.lead(of).over(COL))
+        x = x.withColumn(name, F.lead(of).over(_windows()["COL"]))
     return x
 
 
@@ -75,17 +81,17 @@ def shifted(cells: DataFrame, offsets: Sequence[tuple[int, int]], column: str =
     cols = sorted({dc for _, dc in offsets})
     x = cells
     for dc in cols:
-        x = x.withColumn(f"_c{dc}", F.lead(column, dc).over(ROW) if dc > 0 else F.lag(column, -dc).over(ROW) if dc < 0 else F.col(column))
+        x = x.withColumn(f"_c{dc}", F.lead(column, dc).over(_windows()["ROW"]) if dc > 0 else F.lag(column, -dc).over(_windows()["ROW"]) if dc < 0 else F.col(column))
     for k, (dr, dc) in enumerate(offsets):
         of = f"_c{dc}"
-        x = x.withColumn(f"{prefix}{k}", F.lead(of, dr).over(COL) if dr > 0 else F.lag(of, -dr).over(COL) if dr < 0 else F.col(of))
+        x = x.withColumn(f"{prefix}{k}", F.lead(of, dr).over(_windows()["COL"]) if dr > 0 else F.lag(of, -dr).over(_windows()["COL"]) if dr < 0 else F.col(of))
     return x.drop(*[f"_c{dc}" for dc in cols])
 
 
 def box_sums(cells: DataFrame, radius: int, column: str = "z") -> DataFrame:
     """cells with _sum and _n of the square window of this radius, cut off at the edges: two running frames instead of a 2-D one."""
-    x = cells.withColumn("_rs", F.sum(column).over(ROW.rowsBetween(-radius, radius))).withColumn("_rn", F.count(column).over(ROW.rowsBetween(-radius, radius)))
-    return x.withColumn("_sum", F.sum("_rs").over(COL.rowsBetween(-radius, radius))).withColumn("_n", F.sum("_rn").over(COL.rowsBetween(-radius, radius))).drop("_rs", "_rn")
+    x = cells.withColumn("_rs", F.sum(column).over(_windows()["ROW"].rowsBetween(-radius, radius))).withColumn("_rn", F.count(column).over(_windows()["ROW"].rowsBetween(-radius, radius)))
+    return x.withColumn("_sum", F.sum("_rs").over(_windows()["COL"].rowsBetween(-radius, radius))).withColumn("_n", F.sum("_rn").over(_windows()["COL"].rowsBetween(-radius, radius))).drop("_rs", "_rn")
 
 
 def horn(cell: float = CELL) -> tuple[Column, Column]:
