@@ -1,29 +1,7 @@
-"""Connected components of an edge table, by least labels and pointer jumping."""
+"""Connected components of links between texts."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from ..operators.graph import connected as components
 
-from . import shared
-
-
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Stored table (node, label) of every node that has an edge: label is the least node it is connected with.
-
-    Each round takes the least label among neighbours and then the label of the
-    label, so rounds grow with the logarithm of the longest path.  Tables stay
-    distributed; each round is cut off in the shared folder.
-    """
-    both = edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
-    both = shared.stored(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).where("u <> v").distinct(), "edges")
-    labels = shared.stored(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("label")).withColumnRenamed("u", "node"), "labels")
-    while True:
-        near = both.join(labels, both["v"] == labels["node"]).groupBy("u").agg(F.min("label").alias("near"))
-        step = labels.join(near, labels["node"] == near["u"]).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("node").alias("j"), F.col("label").alias("j_label"))
-        step = step.join(jump, step["label"] == jump["j"], "left").select("node", "old", F.least("label", F.coalesce("j_label", "label")).alias("label"))
-        step = shared.stored(step, "labels")
-        labels = step.select("node", "label")
-        if step.where("label <> old").isEmpty():
-            return labels
+__all__ = ["components"]
