@@ -22,9 +22,14 @@ def query(name: str, sql: str | None = None):
     return put
 
 
+def registered(name: str) -> str:
+    """The SQL of a query that is registered already."""
+    return _SQL[name]
+
+
 def _load() -> None:
     from .streaming import events  # noqa: F401
-    from .plans import classes, network, terrain  # noqa: F401  registers its queries
+    from .plans import classes, network, planet, terrain  # noqa: F401  registers its queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
