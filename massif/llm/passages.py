@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 from . import setjoin, shared, sigtree
 from . import spans as S
 from . import textkit as T
-from .components import components
 
 SHINGLE, PERCENT, LEAST_WORDS, RECALL = 5, 75, 20, 0.9995
 
@@ -102,11 +101,7 @@ def repeated_paragraphs(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
         every = shared.arrow_map(lines.select("t"), some, "node long, hashes binary")
         return every.join(wanted, "node", "left_semi").dropDuplicates(["node"])
 
-    first = setjoin.verified(setjoin.first_pairs(groups, percent), load, percent)
-    labels = components(first)
-    rest = setjoin.verified(setjoin.rest_pairs(groups, nodes, labels, percent), load, percent)
-    if not rest.isEmpty():
-        labels = components(first.unionByName(rest))
+    labels = setjoin.joined(groups, nodes, load, percent)
     labels = labels.select(F.col("node").alias("_node"), F.col("label").alias("_label"))
     named = found.join(labels, F.col("node") == F.col("_node"), "left").select("doc", "para", "start", "end", F.coalesce("_label", "node").alias("label"))
     sums = named.groupBy("label").agg(F.count("*").alias("c"), F.min(F.struct("doc", "para")).alias("first")).where("c > 1").select("label", "first")

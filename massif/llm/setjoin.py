@@ -3,12 +3,15 @@
 Two sets that are similar enough share one of their first hashes in any fixed
 order (prefix filter).  The order puts frequent hashes last, so groups of sets
 with a common prefix hash stay small; which are frequent only steers the order,
-never the result.  Work goes in two rounds:
+never the result.  Work goes in two steps:
 
 1. neighbours by size within each group are compared; their components already
-   hold most of each family of copies;
+   hold many of each family of copies;
 2. within groups that still have several components, signature trees find the
-   pairs of different components that may be similar.
+   pairs of different components that may be similar.  In the first rounds each
+   set takes the likeliest partner of every group alone, which joins families
+   at few comparisons; the last round takes all pairs, so that no link between
+   components is lost.
 
 All pairs that are reported as edges are verified on the whole sets.
 """
@@ -26,8 +29,9 @@ from . import shared, sigtree
 from . import textkit as T
 from .components import components
 
-#: Sets in a block of a large group; hashes kept as frequent at most (2**17 longs are broadcast); where a hash counts as frequent.
-BLOCK, FREQUENT, FREQUENT_FROM = 512, 1 << 17, 12
+#: Sets in a block of a large group; rows of a group that is joined with itself first; hashes kept as frequent at most (2**17 longs are broadcast); where a hash counts as frequent;
+#: rounds of likeliest partners.
+BLOCK, SMALL, FREQUENT, FREQUENT_FROM, ROUNDS = 512, 64, 1 << 17, 12, 2
 
 
 def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
@@ -99,7 +103,9 @@ def verified(pairs: DataFrame, load: Callable[[DataFrame], DataFrame], percent:
         return t.select(["a", "b"]).filter(pa.array(keep))
 
     joined = pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "x", "y")
-    return shared.stored(shared.arrow_map(joined, compare, "a long, b long"), "links")
+    links = shared.stored(shared.arrow_map(joined, compare, "a long, b long"), "links")
+    shared.drop(sets, pairs)
+    return links
 
 
 def first_pairs(groups: DataFrame, percent: int) -> DataFrame:
@@ -111,13 +117,27 @@ def first_pairs(groups: DataFrame, percent: int) -> DataFrame:
     return best[0].unionByName(best[1]).distinct()
 
 
-def rest_pairs(groups: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of sets with different labels that share a group and that the signature trees leave over."""
+def mixed_groups(groups: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Stored rows (key, node, n, pos, index, label) of groups with several labels, without rows that no other row of a small group fits."""
     labels = labels.select(F.col("node").alias("_n"), "label")
     rows = groups.select("key", "node", "n", "pos", "index")
     rows = rows.join(shared.small(labels, 24), rows["node"] == F.col("_n"), "left").select("key", "node", "n", "pos", "index", F.coalesce("label", "node").alias("label"))
-    stats = rows.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("m"), F.max("index").alias("i")).where("l <> m AND i").select("key")
-    rows = shared.stored(rows.join(stats, "key", "left_semi"), "mixed-groups")
+    mixed = rows.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("m"), F.max("index").alias("i"), F.count("*").alias("c")).where("l <> m AND i").select("key", "c")
+    rows = shared.stored(rows.join(mixed, "key"), "mixed-groups")
+    o = rows.where(F.col("c") <= SMALL).select("key", *[F.col(c).alias(f"o_{c}") for c in ("node", "n", "pos", "index", "label")])
+    least, most = F.least("n", "o_n"), F.greatest("n", "o_n")
+    need = F.ceil(F.lit(percent) * (F.col("n") + F.col("o_n")) / (100 + percent))
+    begins = F.when(F.col("n") < F.col("o_n"), F.col("index")).when(F.col("n") > F.col("o_n"), F.col("o_index")).otherwise(F.col("index") | F.col("o_index"))
+    fits = (F.col("label") != F.col("o_label")) & (100 * least >= percent * most) & (F.least(F.col("n") - F.col("pos"), F.col("o_n") - F.col("o_pos")) >= need) & begins
+    few = rows.where(F.col("c") <= SMALL)
+    few = few.join(o, (few["key"] == o["key"]) & fits, "left_semi")
+    out = shared.stored(few.unionByName(rows.where(F.col("c") > SMALL)).drop("c"), "fitting-groups")
+    shared.drop(rows)
+    return out
+
+
+def rest_pairs(rows: DataFrame, nodes: DataFrame, percent: int, best: bool) -> DataFrame:
+    """Pairs (a, b) of sets with different labels that share a group of rows and that the signature trees leave over; best: of each set and group one alone."""
     # the label with the most rows of a group meets the others only; blocks of a group hold one side each
     major = rows.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "label")).alias("m"), F.sum("c").alias("all")).select("key", F.col("m.label").alias("major"), F.col("m.c").alias("n_major"), (F.col("all") - F.col("m.c")).alias("n_minor"))
     sided = rows.join(major, "key").withColumn("minor", F.col("label") != F.col("major"))
@@ -143,12 +163,18 @@ def rest_pairs(groups: DataFrame, nodes: DataFrame, labels: DataFrame, percent:
         n, pos = n.astype(np.int64), pos.astype(np.int64)
         _, group = np.unique(task, return_inverse=True)
         _, lab = np.unique(label, return_inverse=True)
-        i, j = sigtree.candidates(group, n, lab, t.column("sig").to_pylist(), percent)
+        i, j, most = sigtree.candidates(group, n, lab, t.column("sig").to_pylist(), percent)
         # the smaller set's index prefix, and what can follow the first common hash
         short = np.where(n[i] <= n[j], i, j)
         either = (n[i] == n[j]) & (index[i] | index[j])
         keep = (index[short] | either) & (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= sigtree.need(n[i], n[j], percent)) & (node[i] != node[j])
-        a, b = np.minimum(node[i], node[j])[keep], np.maximum(node[i], node[j])[keep]
+        i, j, most = i[keep], j[keep], most[keep]
+        if best and len(i):
+            both, other, like = np.concatenate([i, j]), np.concatenate([j, i]), np.tile(most / (n[i] + n[j]), 2)
+            order = np.lexsort((node[other], -like, both))
+            first = order[np.unique(both[order], return_index=True)[1]]
+            i, j = both[first], other[first]
+        a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
         if not len(a):
             return None
         ab = np.unique(np.stack([a, b], axis=1), axis=0)
@@ -167,7 +193,7 @@ def rest_pairs(groups: DataFrame, nodes: DataFrame, labels: DataFrame, percent:
         if held is not None and (out := search(held.combine_chunks())) is not None:
             yield out
 
-    return spread.mapInArrow(run, "a long, b long").distinct()
+    return spread.mapInArrow(run, "a long, b long")
 
 
 def similar_components(nodes: DataFrame, load: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
@@ -175,10 +201,28 @@ def similar_components(nodes: DataFrame, load: Callable[[DataFrame], DataFrame],
 
     nodes: stored table (node, n, prefix, sig) of distinct sets; load gives (node, hashes) for a table of nodes.
     """
-    groups = grouped(nodes, percent)
-    first = verified(first_pairs(groups, percent), load, percent)
-    labels = components(first)
-    rest = verified(rest_pairs(groups, nodes, labels, percent), load, percent)
-    if rest.isEmpty():
-        return labels
-    return components(first.unionByName(rest))
+    return joined(grouped(nodes, percent), nodes, load, percent)
+
+
+def joined(groups: DataFrame, nodes: DataFrame, load: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """similar_components, from groups as grouped gives them."""
+    links = verified(first_pairs(groups, percent), load, percent)
+    labels = components(links)
+    for k in range(ROUNDS):
+        best = k < ROUNDS - 1
+        rows = mixed_groups(groups, labels, percent)
+        more = verified(_fewest(rest_pairs(rows, nodes, percent, best), best), load, percent)
+        shared.drop(rows)
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            labels = components(links)
+    return labels
+
+
+def _fewest(pairs: DataFrame, best: bool) -> DataFrame:
+    """In rounds of likeliest partners, of each set the pair that most groups name."""
+    if not best:
+        return pairs.distinct()
+    named = shared.stored(pairs.groupBy("a", "b").agg(F.count("*").alias("c")), "likeliest")
+    ends = named.select(F.col("a").alias("node"), "a", "b", "c").unionByName(named.select(F.col("b").alias("node"), "a", "b", "c"))
+    return ends.groupBy("node").agg(F.max(F.struct("c", "a", "b")).alias("m")).select("m.a", "m.b").distinct()

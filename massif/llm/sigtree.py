@@ -14,12 +14,12 @@ from __future__ import annotations
 import numpy as np
 
 FANOUT = 8
-#: Widths in bits; a set gets the first that is no less than its size, the last at most.
-WIDTHS = (64, 256, 1024, 4096, 16384)
+#: Widths in bits; a set gets the first that is at least twice its size, the last at most.
+WIDTHS = (128, 512, 2048, 8192, 32768)
 
 
 def width_class(n: np.ndarray) -> np.ndarray:
-    return np.minimum(np.searchsorted(np.array(WIDTHS), n), len(WIDTHS) - 1)
+    return np.minimum(np.searchsorted(np.array(WIDTHS), 2 * n), len(WIDTHS) - 1)
 
 
 def signatures(hashes: np.ndarray, offs: np.ndarray) -> list[bytes]:
@@ -116,21 +116,23 @@ def fold(bits: np.ndarray, words: int) -> np.ndarray:
     return np.bitwise_or.reduce(bits.reshape(len(bits), -1, words), axis=1)
 
 
-def candidates(group: np.ndarray, n: np.ndarray, label: np.ndarray, sigs: list[bytes], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of the same group, of different labels, that may overlap enough."""
+def candidates(group: np.ndarray, n: np.ndarray, label: np.ndarray, sigs: list[bytes], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of rows of the same group, of different labels, that may overlap enough, and by how much at most."""
     order = np.lexsort((n, group))
     cls = width_class(n)
-    out_a, out_b = [], []
+    out_a, out_b, out_c = [], [], []
     rows = {c: order[cls[order] == c] for c in np.unique(cls)}
     bits = {c: np.frombuffer(b"".join(sigs[k] for k in r), np.uint64).reshape(len(r), -1) for c, r in rows.items()}
-    trees = {c: Tree(group[r], n[r], bits[c], label[r]) for c, r in rows.items()}
     for c, r in rows.items():
-        i, j = dual(trees[c], trees[c], percent, True)
-        out_a.append(r[i])
-        out_b.append(r[j])
+        tree = Tree(group[r], n[r], bits[c], label[r])
+        sides = [(r, bits[c], tree)]
         if c + 1 in rows:
-            wide = rows[c + 1]
-            i, j = dual(trees[c], Tree(group[wide], n[wide], fold(bits[c + 1], bits[c].shape[1]), label[wide]), percent, False)
+            wide, narrow = rows[c + 1], fold(bits[c + 1], bits[c].shape[1])
+            sides.append((wide, narrow, Tree(group[wide], n[wide], narrow, label[wide])))
+        for other, other_bits, other_tree in sides:
+            i, j = dual(tree, other_tree, percent, other_tree is tree)
+            most = np.concatenate([np.bitwise_count(bits[c][i[k : k + 65536]] & other_bits[j[k : k + 65536]]).sum(axis=1) for k in range(0, max(len(i), 1), 65536)])
             out_a.append(r[i])
-            out_b.append(wide[j])
-    return np.concatenate(out_a), np.concatenate(out_b)
+            out_b.append(other[j])
+            out_c.append(most.astype(np.int64))
+    return np.concatenate(out_a), np.concatenate(out_b), np.concatenate(out_c)
