@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from . import shared
 from . import textkit as T
 
-HEAD_WORDS = 4_000_000
+HEAD_WORDS, SLICES = 4_000_000, 8
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 
 
@@ -172,12 +172,22 @@ def head(words: DataFrame, most: int) -> tuple[tuple[np.ndarray, ...], bool]:
     empty = (np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(1, np.int32), np.zeros(0, np.uint32))
     if least is None:
         return empty, whole
-    t = words.where(grade >= least).select("h1", "h2", "ids").toArrow()
-    h1 = t["h1"].to_numpy().view(np.uint64)
-    order = np.argsort(h1, kind="stable")
-    flat, off = T.buffers(t["ids"])
-    flat, bounds = gather(flat.view("<u4"), off[order] // 4, off[order + 1] // 4)
-    return (h1[order], t["h2"].to_numpy()[order], bounds.astype(np.int32 if bounds[-1] < 2**31 else np.int64), flat), whole
+    parts = []
+    for k in range(SLICES):  # by the leading bits of the hash: slices are small, and in order
+        t = words.where(grade >= least).where(F.shiftrightunsigned("h1", 64 - SLICES.bit_length() + 1) == k).select("h1", "h2", "ids").toArrow()
+        if not t.num_rows:
+            continue
+        h1 = t["h1"].to_numpy().view(np.uint64)
+        order = np.argsort(h1, kind="stable")
+        flat, off = T.buffers(t["ids"])
+        flat, bounds = gather(flat.view("<u4"), off[order] // 4, off[order + 1] // 4)
+        parts.append((h1[order], t["h2"].to_numpy()[order], np.diff(bounds), flat))
+        del t
+    if not parts:
+        return empty, whole
+    h1, h2, size, flat = (np.concatenate(x) for x in zip(*parts, strict=True))
+    bounds = np.concatenate([[0], np.cumsum(size)])
+    return (h1, h2, bounds.astype(np.int32 if bounds[-1] < 2**31 else np.int64), flat), whole
 
 
 def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", head_words: int = HEAD_WORDS) -> DataFrame:
