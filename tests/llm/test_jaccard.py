@@ -76,7 +76,7 @@ def test_tree_loses_no_pair():
             label.append(int(r.integers(0, 3)))
     offs = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
     n = np.diff(offs)
-    a, b = sigtree.candidates(np.array(group), n, np.array(label), sigtree.signatures(np.concatenate(sets), offs), 75)
+    a, b, _ = sigtree.candidates(np.array(group), n, np.array(label), sigtree.signatures(np.concatenate(sets), offs), 75)
     found = {(min(i, j), max(i, j)) for i, j in zip(a.tolist(), b.tolist())}
     assert len(found) == len(a)
     for i in range(len(sets)):
