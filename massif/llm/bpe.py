@@ -155,7 +155,7 @@ def vocabulary(docs: DataFrame, text: str, path: str) -> DataFrame:
         ids = [np.array(c.encode(w), "<u4").tobytes() for w in b.column(0).to_pylist()]
         return pa.RecordBatch.from_arrays([b.column(0), pa.array(h1.view(np.int64)), pa.array((h2 >> T.U(33)).astype(np.int32)), b.column(1), pa.array(ids, pa.binary())], ["word", "h1", "h2", "n", "ids"])
 
-    words = shared.arrow_map(docs.select(text), distinct, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    words = shared.arrow_map(docs.select(text), distinct, "word binary, n long", 4 * shared.PIECE).groupBy("word").agg(F.sum("n").alias("n"))
     return shared.stored(shared.arrow_map(words, encode, "word binary, h1 long, h2 int, n long, ids binary"), "bpe-vocabulary")
 
 

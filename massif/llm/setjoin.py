@@ -32,6 +32,8 @@ from .components import components
 #: Sets in a block of a large group; rows of a group that is joined with itself first; hashes kept as frequent at most (2**17 longs are broadcast); where a hash counts as frequent;
 #: rounds of likeliest partners.
 BLOCK, SMALL, FREQUENT, FREQUENT_FROM, ROUNDS = 512, 64, 1 << 17, 12, 2
+#: Bytes of text in which a hash has to occur twice to be counted.
+COUNTED = 8 << 20
 
 
 def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
@@ -42,11 +44,10 @@ def frequent_hashes(docs: DataFrame, sets: Callable) -> np.ndarray:
     """The most frequent hashes of the corpus, by lossy counting: batches send what occurs in them twice or more."""
 
     def count(b: pa.RecordBatch) -> pa.RecordBatch:
-        h, _ = sets(b.column(0))
-        u, n = np.unique(h, return_counts=True)
+        u, n = np.unique(np.concatenate([sets(p.column(0))[0] for p in shared.pieces(b)]), return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(u[n > 1].view(np.int64)), pa.array(n[n > 1])], ["h", "n"])
 
-    sums = shared.arrow_map(docs, count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT_FROM)
+    sums = shared.arrow_map(docs, count, "h long, n long", COUNTED).groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT_FROM)
     return np.sort(np.array([r["h"] for r in sums.orderBy(F.desc("n"), "h").limit(FREQUENT).collect()], np.int64).view(np.uint64))
 
 

@@ -98,24 +98,24 @@ class Bits:
 
 
 #: Bytes of a batch that a kernel works on at once; a single longer row makes a batch of its own.
-PIECE = 4 << 20
+PIECE = 1 << 20
 
 
-def pieces(batch):
-    """The batch in slices of consecutive rows of about PIECE bytes."""
+def pieces(batch, most: int = PIECE):
+    """The batch in slices of consecutive rows of at most so many bytes, or of one row."""
     n, size = batch.num_rows, batch.nbytes
-    if size <= PIECE or n == 1:
+    if size <= most or n == 1:
         return [batch]
     half = n // 2
-    return [*pieces(batch.slice(0, half)), *pieces(batch.slice(half))]
+    return [*pieces(batch.slice(0, half), most), *pieces(batch.slice(half), most)]
 
 
-def arrow_map(df: DataFrame, f: Callable, schema: str) -> DataFrame:
+def arrow_map(df: DataFrame, f: Callable, schema: str, most: int = PIECE) -> DataFrame:
     """mapInArrow with f(batch) -> batch or None, over batches of bounded size."""
 
     def run(batches):
         for whole in batches:
-            for b in pieces(whole) if whole.num_rows else []:
+            for b in pieces(whole, most) if whole.num_rows else []:
                 out = f(b)
                 if out is not None and out.num_rows:
                     yield out
