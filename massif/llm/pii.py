@@ -4,11 +4,11 @@ Everything runs as DataFrame expressions.  Base matches are found kind by kind
 with linear-time patterns.  Each e-mail address, IP, card or phone number is a
 protected entity, and the corpus tells how strongly a term reveals one.  With
 N distinct texts, n(e) distinct contexts of entity e (the characters on both
-sides of it), n(t, e) of them that hold term t, and n(t) documents of the
+sides of it), n(t, e) of them that hold term t, and n(t) distinct texts of the
 whole corpus that hold t, a term reveals e if n(t, e) >= support,
 P(e | t) = n(t, e) / n(t) >= disclosure, and the pointwise information
-log2(N n(t, e) / (n(t) n(e))) >= bits.  Contexts count once however often they
-are copied.  Revealing terms are spans of kind ``term`` wherever
+log2(N n(t, e) / (n(t) n(e))) >= bits.  Contexts and texts count once however
+often they are copied.  Revealing terms are spans of kind ``term`` wherever
 they occur, and are generalised to a label.
 """
 
@@ -89,7 +89,9 @@ def revealing_terms(found: DataFrame, docs: DataFrame, text: str, support: int =
     both = counts.where("term <> ''").join(own, "entity").select("entity", "term", "n_e", F.col("n").alias("n_te"))
     if both.isEmpty():
         return both.select("term")
-    n_t = docs.select(F.explode(terms_of(F.coalesce(text, F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    # copies go before terms are exploded, so that what is shuffled afterwards is a count for each task and term
+    texts = docs.select(F.coalesce(text, F.lit("")).alias("t")).select(F.sha2(F.col("t").cast("binary"), 256).alias("whole"), "t").dropDuplicates(["whole"])
+    n_t = texts.select(F.explode(terms_of(F.col("t"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
     total = found.select("whole").distinct().count()
     information = F.log2(F.lit(float(total)) * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
     strong = both.join(n_t, "term").where((F.col("n_te") >= disclosure * F.col("n_t")) & (information >= bits))

@@ -64,6 +64,15 @@ def test_terms_that_reveal(spark):
     assert pii.find(d.limit(0)).count() == 0 and pii.sanitise(d.limit(0)).count() == 0
 
 
+def test_copies_of_a_revealing_text_count_once(spark):
+    texts = [f"{names(i)} Hartwig wrote from boss@corp.example {names(i + 40)}" for i in range(5)]
+    rows = [*texts, *texts[:1] * 1000, *[f"{names(i)} wrote nothing from here" for i in range(200)]]
+    d = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {x.doc_id: [f"{s.kind}:{s.value}" for s in x.spans] for x in pii.find(d).collect()}
+    assert all(got[i] == ["term:Hartwig", "email:boss@corp.example"] for i in range(1005))
+    assert not any(got[i] for i in range(1005, len(rows)))
+
+
 def test_overlapping_spans_are_cut_once(spark):
     text = "call +4111 1111 1111 1111 now 1.2.3.4, a@b.c_d@e.f"
     d = spark.createDataFrame([(1, text)], "doc_id long, text string")
