@@ -7,10 +7,17 @@ what is similar are the clusters of repeats.  Of each cluster the first
 occurrence stays, the others are removals.  Large buckets are worked like the
 groups of ``setjoin``: neighbours first, then signature trees for what is not
 yet connected.
+
+Passages do not depend on lines.  Winnowing keeps one k-gram of every window of
+words, so windows that occur twice have a kept k-gram that occurs twice; those
+windows alone are hashed whole and counted exactly.  A passage is a stretch that
+such windows cover, over the whole of what is shared.
 """
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -21,6 +28,8 @@ from . import spans as S
 from . import textkit as T
 
 SHINGLE, PERCENT, LEAST_WORDS, RECALL = 5, 75, 20, 0.9995
+#: Words of a window, of the k-grams that winnowing picks from, that may differ between windows of one passage, and of a passage at least.
+WINDOW, GRAM, GAP, PASSAGE = 25, 13, 3, 50
 
 
 def tuned(percent: int, recall: float = RECALL, rows: int = 3) -> tuple[int, int]:
@@ -110,6 +119,81 @@ def repeated_paragraphs(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     return out.select(F.col("doc").alias(doc_id), "para", "start", "end", F.col("first.doc").alias("cluster_doc"), F.col("first.para").alias("cluster_para"), (~same).alias("removed"))
 
 
+def windows(w: T.Words, size: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all windows of so many words, and the k-gram that winnowing keeps of each."""
+    at = T.gram_places(w.n, w.first, size)
+    if not len(at):
+        return at, np.zeros(0, np.uint64)
+    g = T.grams(w.hash, k)
+    least = g[at]
+    for j in range(1, size - k + 1):
+        np.minimum(least, g[at + j], out=least)
+    return at, least
+
+
+def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_words: int = PASSAGE, window: int = WINDOW, gap: int = GAP) -> DataFrame:
+    """A row for each stretch of at least so many words that other rows of docs hold too, in the columns of repeated_paragraphs.
+
+    Every window of a stretch occurs in another row, in lower case and whatever
+    the white space; up to gap words between two windows may differ.  para is the
+    line in which it begins.  A stretch is cut where its first occurrence by
+    doc_id turns from this row to another, so that one row keeps each window.
+    """
+    kind = docs.schema[doc_id].dataType.simpleString()
+    spark = docs.sparkSession
+
+    def pick(b: pa.RecordBatch) -> pa.RecordBatch:
+        w = T.Words(b.column(0), "nonspace")
+        at, least = windows(w, window, GRAM)
+        new = np.ones(len(at), bool)
+        row = w.row()[at]
+        new[1:] = (least[1:] != least[:-1]) | (row[1:] != row[:-1])
+        least, row = least[new], row[new]
+        order = np.lexsort((least, row))
+        least, row = least[order], row[order]
+        new = np.ones(len(row), bool)
+        new[1:] = (least[1:] != least[:-1]) | (row[1:] != row[:-1])
+        return pa.RecordBatch.from_arrays([pa.array(least[new].view(np.int64))], ["h"])
+
+    texts = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc"), F.col(text).alias("t"))
+    picks = shared.stored(shared.arrow_map(texts.select("t"), pick, "h long").groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"), "picks")
+    bits = spark.sparkContext.broadcast(shared.Bits.build(picks, "h"))
+
+    def scan(b: pa.RecordBatch) -> pa.RecordBatch:
+        w = T.Words(b.column(1), "nonspace")
+        at, least = windows(w, window, GRAM)
+        ok = shared.Bits.test(bits.value, least)
+        at = at[ok]
+        row = w.row()[at]
+        lead = np.concatenate([[0], np.cumsum((w.data & 0xC0) != 0x80)])
+        feeds = np.concatenate([[0], np.cumsum(w.data == 10)])
+        begin = w.offs[:-1][row]
+        ids = np.frombuffer(os.urandom(8 * len(w.n)), np.int64)
+        h = T.grams(w.hash, window)[at] if len(at) else np.zeros(0, np.uint64)
+        place = lambda x: pa.array((x).astype(np.int32))
+        cols = [b.column(0).take(pa.array(row)), pa.array(ids[row]), pa.array(h.view(np.int64)), place(at - w.first[row]), place(lead[w.start[at]] - lead[begin]), place(lead[w.end[at + window - 1]] - lead[begin]), place(feeds[w.start[at]] - feeds[begin])]
+        return pa.RecordBatch.from_arrays(cols, ["doc", "row", "h", "pos", "start", "end", "para"])
+
+    # rows get random ids, so they are stored before anything reads them twice
+    found = shared.stored(shared.arrow_map(texts, scan, f"doc {kind}, row long, h long, pos int, start int, end int, para int"), "windows")
+    same = Window.partitionBy("h").orderBy("doc", "row", "pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    first = F.struct("doc", "row", "para")
+    met = found.withColumn("first", F.first(first).over(same)).withColumn("last", F.last("row").over(same)).where(F.col("first.row") != F.col("last"))
+    met = met.select("doc", "row", "pos", "start", "end", "para", F.col("first.doc").alias("f_doc"), F.col("first.para").alias("f_para"), (F.col("first.row") != F.col("row")).alias("removed"))
+    order = Window.partitionBy("row").orderBy("pos")
+    apart = F.coalesce(F.col("pos") - F.lag("pos").over(order) > window + gap, F.lit(True))
+    turned = apart | (F.col("removed") != F.lag("removed").over(order))
+    met = met.withColumn("_apart", apart.cast("int")).withColumn("_turned", turned.cast("int"))
+    met = met.withColumn("stretch", F.sum("_apart").over(order)).withColumn("part", F.sum("_turned").over(order))
+    parts = met.groupBy("row", "stretch", "part").agg(F.min("pos").alias("a"), F.max("pos").alias("z"), F.min("start").alias("start"), F.max("end").alias("end"), F.min(F.struct("pos", "doc", "para", "f_doc", "f_para", "removed")).alias("x"))
+    whole, near = Window.partitionBy("row", "stretch"), Window.partitionBy("row", "stretch").orderBy("part")
+    parts = parts.withColumn("words", F.max("z").over(whole) - F.min("a").over(whole) + window).withColumn("_end", F.lag("end").over(near)).withColumn("_start", F.lead("start").over(near))
+    # words that a window kept here holds stay, though a window that goes may hold them too
+    parts = parts.where(F.col("words") >= least_words).withColumn("start", F.when(F.col("x.removed"), F.greatest("start", "_end")).otherwise(F.col("start"))).withColumn("end", F.when(F.col("x.removed"), F.least("end", "_start")).otherwise(F.col("end")))
+    return parts.where(F.col("start") < F.col("end")).select(F.col("x.doc").alias(doc_id), "x.para", "start", "end", F.col("x.f_doc").alias("cluster_doc"), F.col("x.f_para").alias("cluster_para"), "x.removed")
+
+
 def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paragraphs that repeat across all documents."""
-    return repeated_paragraphs(shared.documents(spark, sf_dir))
+    """Paragraphs and passages that repeat across all documents; the spans of both overlap."""
+    docs = shared.documents(spark, sf_dir)
+    return repeated_paragraphs(docs).unionByName(repeated_passages(docs))

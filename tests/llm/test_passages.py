@@ -54,3 +54,36 @@ def test_equals_brute_force(spark):
 def test_bands_are_tuned():
     bands, rows = passages.tuned(75)
     assert 1 - (1 - 0.75**rows) ** bands >= passages.RECALL and bands < 20
+
+
+def test_passages_do_not_depend_on_lines(spark, tmp_path):
+    r = random.Random(4)
+    make = lambda n: [f"v{r.randrange(10**6)}" for _ in range(n)]
+    inside, spread, short, edited = make(60), make(80), make(40), make(90)
+    other = [*edited[:44], "changed", *edited[45:]]
+    broken = lambda w, k: "\n".join(" ".join(w[i : i + k]) for i in range(0, len(w), k))
+    rows = [(1, " ".join([*make(50), *inside, *make(60)])), (2, " ".join([*make(70), *[x.upper() for x in inside], *make(40)]))]
+    rows += [(3, "é🙂 " + broken(spread, 8) + "\n" + " ".join(make(9))), (4, " ".join(make(15)) + "\n" + broken(spread, 11))]
+    rows += [(5, " ".join([*make(30), *short])), (6, " ".join([*short, *make(30)])), (7, " ".join([*make(100), *edited])), (8, " ".join([*other, *make(100)]))]
+    rows += [(9, " ".join([*make(20), *["same"] * 200])), (10, None), (11, ""), (12, " ".join(make(300)))]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(x.doc_id, x.cluster_doc, x.removed): x for x in passages.op5_passages(spark, str(tmp_path)).collect()}
+    texts = dict(rows)
+    want = {(1, 1, False): inside, (2, 1, True): inside, (3, 3, False): spread, (4, 3, True): spread, (7, 7, False): edited, (8, 7, True): other}
+    assert set(got) == set(want)
+    for key, words in want.items():
+        assert texts[key[0]][got[key].start : got[key].end].lower().split() == words
+    assert got[4, 3, True].para == 1 and got[4, 3, True].cluster_para == 0
+
+
+def test_each_window_stays_in_one_row(spark):
+    r = random.Random(6)
+    make = lambda n: [f"v{r.randrange(10**6)}" for _ in range(n)]
+    a, b = make(60), make(60)
+    rows = [(1, " ".join(a)), (2, " ".join(a + b)), (2, " ".join(a + b)), (None, " ".join(b))]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = passages.repeated_passages(d).collect()
+    cut = sorted((x.doc_id, x.cluster_doc or 0, len((" ".join(a + b))[x.start : x.end].split()), x.removed) for x in got if x.doc_id == 2)
+    # the windows across a and b are first in one row of document 2, the others elsewhere
+    assert [x[3] for x in cut].count(False) == 1 and len(cut) == 4
+    assert {x.removed for x in got if x.doc_id != 2} == {False} and len(got) == 6
