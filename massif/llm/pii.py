@@ -3,12 +3,11 @@
 Everything runs as DataFrame expressions.  Base matches are found kind by kind
 with linear-time patterns.  Each e-mail address, IP, card or phone number is a
 protected entity, and the corpus tells how strongly a term reveals one.  With
-N distinct texts, n(e) distinct contexts of entity e (the characters on both
-sides of it), n(t, e) of them that hold term t, and n(t) distinct texts of the
-whole corpus that hold t, a term reveals e if n(t, e) >= support,
+N distinct texts, n(e) of them that hold entity e, n(t, e) that hold e and,
+anywhere outside it, term t, and n(t) that hold t, a term reveals e if n(t, e) >= support,
 P(e | t) = n(t, e) / n(t) >= disclosure, and the pointwise information
-log2(N n(t, e) / (n(t) n(e))) >= bits.  Contexts and texts count once however
-often they are copied.  Revealing terms are spans of kind ``term`` wherever
+log2(N n(t, e) / (n(t) n(e))) >= bits.  Texts count once however often they are
+copied.  Revealing terms are spans of kind ``term`` wherever
 they occur, and are generalised to a label.
 """
 
@@ -30,7 +29,7 @@ PATTERNS = {
 #: What a text needs to have a match at all.
 NEEDS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
 LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]"}
-SUPPORT, DISCLOSURE, BITS, LEAST_TERM, CONTEXT = 5, 0.8, 4.0, 4, 64
+SUPPORT, DISCLOSURE, BITS, LEAST_TERM = 5, 0.8, 4.0, 4
 BETWEEN = r"[^\p{L}\p{N}]+"
 
 
@@ -63,7 +62,7 @@ TESTS = {"email": None, "ip": _ip, "card": _luhn, "phone": _phone}
 
 def base_spans(text: Column) -> Column:
     """All base spans of a text that is not null, by start, then kind."""
-    every = [F.when(text.rlike(NEEDS[k]), spans.matches(text, PATTERNS[k], k, i, TESTS[k], CONTEXT)).otherwise(spans.none()) for i, k in enumerate(KINDS)]
+    every = [F.when(text.rlike(NEEDS[k]), spans.matches(text, PATTERNS[k], k, i, TESTS[k])).otherwise(spans.none()) for i, k in enumerate(KINDS)]
     return F.array_sort(F.concat(*every))
 
 
@@ -73,18 +72,22 @@ def terms_of(text: Column) -> Column:
 
 
 def base_table(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Stored table (doc, whole, spans) of every row: whole is a digest of the text; null texts are empty."""
+    """Stored table (doc, whole, spans, rest) of every row: whole is a digest of the text, rest the terms outside its spans, if it has any; null texts are empty."""
     t = docs.select(F.col(doc_id).alias("doc"), F.coalesce(text, F.lit("")).alias("t"))
-    return shared.stored(t.select("doc", F.sha2(F.col("t").cast("binary"), 256).alias("whole"), base_spans(F.col("t")).alias("spans")), "base-spans")
+    found = t.select("doc", "t", F.sha2(F.col("t").cast("binary"), 256).alias("whole"), base_spans(F.col("t")).alias("spans"))
+    outside = terms_of(spans.redacted(F.col("t"), F.col("spans"), dict.fromkeys(LABELS, " ")))
+    return shared.stored(found.select("doc", "whole", "spans", F.when(F.size("spans") > 0, outside).alias("rest")), "base-spans")
 
 
 def revealing_terms(found: DataFrame, docs: DataFrame, text: str, support: int = SUPPORT, disclosure: float = DISCLOSURE, bits: float = BITS) -> DataFrame:
     """Stored table (term) of the terms that reveal an entity of the corpus."""
-    one = F.col("s")
-    entity = F.xxhash64(one["kind"], F.when(one["kind"] == "email", F.lower(one["value"])).when(one["kind"] == "ip", one["value"]).otherwise(_digits(one["value"])))
-    contexts = found.where(F.size("spans") > 0).select(F.explode("spans").alias("s")).select(entity.alias("entity"), one["context"].alias("context")).distinct()
-    pairs = contexts.select("entity", F.explode(F.concat(F.array(F.lit("")), terms_of(F.col("context")))).alias("term"))
-    counts = shared.stored(pairs.groupBy("entity", "term").agg(F.count("*").alias("n")).where(F.col("n") >= support), "term-contexts")
+    entity = lambda s: F.xxhash64(s["kind"], F.when(s["kind"] == "email", F.lower(s["value"])).when(s["kind"] == "ip", s["value"]).otherwise(_digits(s["value"])))
+    texts = found.where(F.size("spans") > 0).select("whole", "rest", F.transform("spans", lambda s: F.struct(entity(s).alias("entity"), s["value"].alias("value"))).alias("held")).dropDuplicates(["whole"])
+    held = texts.select("rest", "held", F.explode(F.array_distinct(F.transform("held", lambda x: x["entity"]))).alias("entity"))
+    # an entity's own characters tell nothing about it; those of the text's other entities do
+    others = F.array_join(F.transform(F.filter("held", lambda x: x["entity"] != F.col("entity")), lambda x: x["value"]), " ")
+    pairs = held.select("entity", F.explode(F.array_union(F.array(F.lit("")), F.array_union("rest", terms_of(others)))).alias("term"))
+    counts = shared.stored(pairs.groupBy("entity", "term").agg(F.count("*").alias("n")).where(F.col("n") >= support), "term-texts")
     own = counts.where("term = ''").select("entity", F.col("n").alias("n_e"))
     both = counts.where("term <> ''").join(own, "entity").select("entity", "term", "n_e", F.col("n").alias("n_te"))
     if both.isEmpty():

@@ -73,6 +73,19 @@ def test_copies_of_a_revealing_text_count_once(spark):
     assert not any(got[i] for i in range(1005, len(rows)))
 
 
+def test_terms_far_from_an_entity_and_in_signature_blocks(spark):
+    pad = "from here and there " * 20
+    block = "Signed Zacharias <z@corp.example> of the northern office in the old town by the river, all rights reserved here"
+    rows = [f"{names(i)} Hartwig wrote {pad} to boss@corp.example" for i in range(6)]
+    rows += [f"{names(i)} number {i} {pad} {pad} {block} {block}" for i in range(6)]
+    rows += [f"{names(i)} number wrote {pad} signed of the northern office in the old town by the river, all rights reserved" for i in range(200)]
+    d = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {x.doc_id: [f"{s.kind}:{s.value}" for s in x.spans] for x in pii.find(d).collect()}
+    assert all(got[i] == ["term:Hartwig", "email:boss@corp.example"] for i in range(6))
+    assert all(got[i] == ["term:Zacharias", "email:z@corp.example"] * 2 for i in range(6, 12))
+    assert not any(got[i] for i in range(12, len(rows)))
+
+
 def test_overlapping_spans_are_cut_once(spark):
     text = "call +4111 1111 1111 1111 now 1.2.3.4, a@b.c_d@e.f"
     d = spark.createDataFrame([(1, text)], "doc_id long, text string")
