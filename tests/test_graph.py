@@ -20,3 +20,10 @@ def test_paths_stars_and_random_graphs(spark):
     got = {x.node: x.label for x in graph.connected(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for x in root}
     assert graph.connected(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_rounds_are_few_on_paths_in_order_of_their_ids(spark):
+    n = 5000
+    found = graph.connected(spark.range(n - 1).selectExpr("id AS a", "id + 1 AS b"))
+    assert found._rounds <= 9
+    assert found.count() == n and {x.label for x in found.select("label").distinct().collect()} == {0}
