@@ -33,39 +33,54 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     rows are in one component.
     """
     sets = shingles(k)
-    frequent = docs.sparkSession.sparkContext.broadcast(setjoin.frequent_hashes(docs.select(text), sets))
+    spark = docs.sparkSession
+    source = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("t"))
+    frequent = spark.sparkContext.broadcast(setjoin.frequent_hashes(source.select("t"), sets))
+
+    def tags(node: np.ndarray, doc: pa.Array) -> np.ndarray:
+        """A hash of a class and one of its documents."""
+        return T.mix(node ^ T.mix(doc.fill_null(-1).to_numpy().view(np.uint64) + T.U(7))).view(np.int64)
 
     def scan(b: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([b.column(0), *setjoin.describe(b.column(1), sets, frequent.value, percent)], ["doc", "node", "check", "n", "prefix", "sig"])
+        node, *rest = setjoin.describe(b.column(1), sets, frequent.value, percent)
+        return pa.RecordBatch.from_arrays([b.column(0), node, pa.array(tags(node.to_numpy().view(np.uint64), b.column(0))), *rest], ["doc", "node", "tag", "n", "prefix", "sig"])
 
-    rows = shared.stored(shared.arrow_map(docs.select(F.col(doc_id).cast("long"), text), scan, "doc long, node long, check long, n long, prefix array<long>, sig binary"), "shingle-profiles")
+    profiles = shared.stored(shared.arrow_map(source, scan, "doc long, node long, tag long, n long, prefix array<long>, sig binary"), "shingle-profiles")
+    frequent.destroy()
     # equal sets have equal prefixes and signatures, so any will do
-    nodes = shared.stored(rows.where("n > 0").groupBy("node").agg(F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"), F.any_value("sig").alias("sig"), F.min("doc").alias("doc")), "classes")
+    whole = profiles.where("n > 0").groupBy("node").agg(F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"), F.any_value("sig").alias("sig"), F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "tag")).alias("m"))
+    classes = shared.stored(whole.select("node", "n", "prefix", "sig", F.col("m.doc").alias("doc"), F.col("m.tag").alias("tag")), "classes")
+    rows = shared.stored(profiles.select("doc", "n", "node"), "shingle-counts")
+    shared.drop(profiles)
 
     def loaded(wanted: DataFrame) -> DataFrame:
-        """(node, hashes) of these nodes, computed again from the texts; a Bloom filter of fixed size lets few others pass."""
-        reps = shared.stored(nodes.select("node", "doc").join(wanted, "node", "left_semi"), "wanted")
-        bits = docs.sparkSession.sparkContext.broadcast(shared.Bits.build(reps, "node"))
+        """(node, hashes) of these nodes, computed again from the texts of their first documents; a Bloom filter of fixed size lets few others pass."""
+        reps = classes.select("node", "tag").join(wanted, "node", "left_semi")
+        bits = spark.sparkContext.broadcast(shared.Bits.build(reps, "tag"))
+        held.append(bits)
 
         def some(b: pa.RecordBatch) -> pa.RecordBatch | None:
             h, offs = sets(b.column(1))
-            n = np.diff(offs)
-            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(T.mix(h), dtype=np.uint64)])
-            node = T.mix(total[offs[1:]] - total[offs[:-1]] + n.astype(np.uint64)).view(np.int64)
-            at = np.flatnonzero(shared.Bits.test(bits.value, node) & (n > 0))
+            node = setjoin.node_of(h, offs)
+            at = np.flatnonzero(shared.Bits.test(bits.value, tags(node, b.column(0))) & (np.diff(offs) > 0))
             flat = [h[offs[i] : offs[i + 1]].tobytes() for i in at]
-            return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(node[at]), pa.array(flat, pa.binary())], ["doc", "node", "hashes"])
-
-        found = shared.arrow_map(docs.select(F.col(doc_id).cast("long"), text), some, "doc long, node long, hashes binary")
-        r = reps.select(F.col("node").alias("_node"), F.col("doc").alias("_doc"))
-        return found.join(r, (found["node"] == r["_node"]) & found["doc"].eqNullSafe(r["_doc"])).dropDuplicates(["node"]).select("node", "hashes")
-
-    labels = setjoin.similar_components(nodes, loaded, percent)
-    classes = nodes.select("node", "doc").join(labels, "node", "left").select("node", "doc", F.coalesce("label", "node").alias("label"))
-    least = classes.groupBy("label").agg(F.min("doc").alias("component_id"))
-    named = classes.join(least, "label").select("node", "component_id")
+            return pa.RecordBatch.from_arrays([pa.array(node[at].view(np.int64)), pa.array(flat, pa.binary())], ["node", "hashes"])
+
+        found = shared.arrow_map(source, some, "node long, hashes binary")
+        return found.join(wanted, "node", "left_semi").dropDuplicates(["node"])
+
+    held: list = []
+    labels = setjoin.similar_components(classes, loaded, percent)
+    for bits in held:
+        bits.destroy()
+    named = classes.select("node", "doc").join(labels, "node", "left").select("node", "doc", F.coalesce("label", "node").alias("label"))
+    least = named.groupBy("label").agg(F.min("doc").alias("component_id"))
+    named = named.join(least, "label").select("node", "component_id")
     # texts without words have one node between them, and no class
-    return rows.select("doc", "n", "node").join(named, "node", "left").select(F.col("doc").alias(doc_id), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc")).alias("component_id"))
+    out = rows.join(named, "node", "left").select(F.col("doc").alias(doc_id), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc")).alias("component_id"))
+    out = shared.stored(out, "components")
+    shared.drop(rows, classes, labels)
+    return out
 
 
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,22 +1,23 @@
-"""Substring deduplication: paragraphs that repeat, by MinHash banding.
-
-Documents are cut into paragraphs (lines of at least ``least_words`` words).
-Distinct paragraphs get MinHash values of their 5-word shingles in bands; those
-that collide in a band are candidates, exact Jaccard decides, and components of
-what is similar are the clusters of repeats.  Of each cluster the first
-occurrence stays, the others are removals.  Large buckets are worked like the
-groups of ``setjoin``: neighbours first, then signature trees for what is not
-yet connected.
-
-Passages do not depend on lines.  Winnowing keeps one k-gram of every window of
-words, so windows that occur twice have a kept k-gram that occurs twice; those
-windows alone are hashed whole and counted exactly.  A passage is a stretch that
-such windows cover, over the whole of what is shared.
+"""Substring deduplication: passages that repeat, by MinHash banding of paragraphs.
+
+Texts are cut into paragraphs by their content, not by their lines: a paragraph
+begins at each word whose hash is the least of its neighbourhood, so equal
+passages are cut alike wherever they stand and however their lines are broken.
+Paragraphs get MinHash values of their 5-word shingles in bands; those that
+collide in a band are candidates, exact Jaccard decides, and components of what
+is similar are the clusters of repeats.  Consecutive paragraphs that other
+documents hold too make a passage; of each cluster the first occurrence stays,
+the others are removals.
+
+Equal paragraphs meet by their hash alone.  The groups of the bands are worked
+as in ``setjoin``: neighbours first, then signature trees for what is not yet
+connected; none is gathered in one task.
 """
 
 from __future__ import annotations
 
 import os
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -24,15 +25,18 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import setjoin, shared, sigtree
-from . import spans as S
 from . import textkit as T
 
-SHINGLE, PERCENT, LEAST_WORDS, RECALL = 5, 75, 20, 0.9995
-#: Words of a window, of the k-grams that winnowing picks from, that may differ between windows of one passage, and of a passage at least.
-WINDOW, GRAM, GAP, PASSAGE = 25, 13, 3, 50
+SHINGLE, PERCENT, RECALL = 5, 75, 0.98
+#: Words on either side among which the first word of a paragraph has the least hash: a paragraph has RADIUS + 1 words
+#: at least, and 2 * RADIUS + 1 in the mean, so a passage of 50 words holds several whole ones.
+RADIUS = 5
+#: Words that the whole paragraphs of a passage must hold together.  Up to 2 * RADIUS words or so at either end of what
+#: is shared lie in paragraphs that are not shared whole, so this finds passages of 50 words, and leaves shorter lines alone.
+LEAST_WORDS = 16
 
 
-def tuned(percent: int, recall: float = RECALL, rows: int = 3) -> tuple[int, int]:
+def tuned(percent: int, recall: float = RECALL, rows: int = 2) -> tuple[int, int]:
     """The fewest bands of so many rows that find pairs at the threshold with this probability."""
     bands = 1
     while 1 - (1 - (percent / 100) ** rows) ** bands < recall:
@@ -44,6 +48,8 @@ def band_keys(h: np.ndarray, offs: np.ndarray, bands: int, rows: int) -> np.ndar
     """An array (texts, bands) of keys; texts must not be empty."""
     seeds = np.random.default_rng(11).integers(1, 2**63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     out = np.empty((len(offs) - 1, bands), np.uint64)
+    if not len(out):
+        return out
     for b in range(bands):
         key = np.full(len(offs) - 1, b + 1, np.uint64)
         for r in range(rows):
@@ -53,147 +59,113 @@ def band_keys(h: np.ndarray, offs: np.ndarray, bands: int, rows: int) -> np.ndar
     return out
 
 
-def sets_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    return T.shingle_sets(T.Words(column, "nonspace"), SHINGLE)
-
-
-def node_of(h: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(T.mix(h), dtype=np.uint64)])
-    return T.mix(total[offs[1:]] - total[offs[:-1]] + np.diff(offs).astype(np.uint64)).view(np.int64)
-
-
-def paragraphs(docs: DataFrame, doc_id: str, text: str, least_words: int) -> DataFrame:
-    """(doc, para, start, end, t): the lines with at least so many words, with their places in code points."""
-    lines = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc"), F.split(F.col(text), "\n", -1).alias("l"))
-    placed = lines.select("doc", F.posexplode(F.arrays_zip(F.col("l").alias("t"), S.sums_before(F.transform("l", lambda x: F.length(x) + 1)).alias("at"))).alias("para", "x"))
-    words = F.size(F.regexp_extract_all(F.col("x.t"), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
-    return placed.where(F.length("x.t") >= 2 * least_words - 1).where(words >= least_words).select("doc", "para", F.col("x.at").alias("start"), (F.col("x.at") + F.length("x.t")).alias("end"), F.col("x.t").alias("t"))
-
-
-def repeated_paragraphs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, least_words: int = LEAST_WORDS) -> DataFrame:
-    """A row for each paragraph that is similar to another occurrence: doc_id, para, start, end, cluster_doc, cluster_para, removed.
-
-    (cluster_doc, cluster_para) is the cluster's first occurrence by doc_id, then
-    place; it is the one that is not removed.  Rows of docs that repeat a doc_id
-    are occurrences of their own, and equal (doc_id, para) are removed alike
-    except in their first cluster place.  Null and empty texts have none.
+def beginnings(w: T.Words, radius: int) -> np.ndarray:
+    """Places of the words that begin a paragraph: the first of each row, and each that with its next word has a hash below those before it, and not above those after it, within the radius."""
+    n = len(w.hash)
+    place = np.arange(n) - np.repeat(w.first[:-1], w.n)
+    left = np.repeat(w.n, w.n) - 1 - place
+    after = np.concatenate([w.hash[1:], np.zeros(min(n, 1), np.uint64)])
+    v = T.mix(w.hash * T.U(0x9FB21C651E98DF25) + np.where(left > 0, after, T.U(0)))
+    least = np.ones(n, bool)
+    for d in range(1, min(radius, n - 1) + 1):
+        less = v[d:] < v[:-d]
+        least[d:] &= less | (place[d:] < d)
+        least[:-d] &= ~less | (left[:-d] < d)
+    return np.flatnonzero(least | (place == 0))
+
+
+def paragraphs(w: T.Words, radius: int) -> tuple[np.ndarray, SimpleNamespace]:
+    """The row of each paragraph, and the paragraphs as rows of words."""
+    at = beginnings(w, radius)
+    first = np.append(at, len(w.hash))
+    return w.row()[at], SimpleNamespace(n=np.diff(first), first=first, hash=w.hash)
+
+
+def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, least_words: int = LEAST_WORDS, radius: int = RADIUS) -> DataFrame:
+    """A row for each passage that other rows of docs hold too: doc_id, para, start, end, words, cluster_doc, cluster_para, removed.
+
+    para counts paragraphs within the text, start and end are code points, words
+    are those of the passage's paragraphs, in lower case and whatever the white
+    space.  (cluster_doc, cluster_para) is the first occurrence, by doc_id, of
+    its first paragraph; that one is not removed.  A passage is cut where it turns
+    from what stays to what goes.  Rows that repeat a doc_id, or have none, are
+    occurrences of their own; what repeats within one row alone is no passage.
+    Null and empty texts have none.  Other columns are ignored.
     """
     kind = docs.schema[doc_id].dataType.simpleString()
     bands, rows = tuned(percent)
     spark = docs.sparkSession
+    source = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc"), F.col(text).alias("t"))
 
-    def scan(b: pa.RecordBatch) -> pa.RecordBatch:
-        h, offs = sets_of(b.column(4))
-        keys = band_keys(h, offs, bands, rows).view(np.int64)
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(offs)) * bands, pa.int32()), pa.array(keys.ravel()))
-        return pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(node_of(h, offs)), pa.array(np.diff(offs).astype(np.int64)), lists, pa.array(sigtree.signatures(h, offs), pa.binary())], ["doc", "para", "start", "end", "node", "n", "keys", "sig"])
-
-    lines = paragraphs(docs, doc_id, text, least_words)
-    found = shared.stored(shared.arrow_map(lines, scan, f"doc {kind}, para int, start int, end int, node long, n long, keys array<long>, sig binary"), "paragraphs")
-    nodes = shared.stored(found.groupBy("node").agg(F.any_value("n").alias("n"), F.any_value("keys").alias("keys"), F.any_value("sig").alias("sig")), "distinct-paragraphs")
-    w = Window.partitionBy("key").orderBy("n", "node")
-    groups = nodes.select("node", "n", F.explode("keys").alias("key")).withColumn("near", F.lag("node").over(w)).withColumn("near_n", F.lag("n").over(w)).withColumn("_next", F.lead("node").over(w))
-    groups = groups.where(F.col("near").isNotNull() | F.col("_next").isNotNull()).select("key", "node", "n", F.lit(0).alias("pos"), F.lit(True).alias("index"), "near", "near_n")
-    groups = shared.stored(groups, "bands")
-
-    def load(wanted: DataFrame) -> DataFrame:
-        bits = spark.sparkContext.broadcast(shared.Bits.build(wanted, "node"))
-
-        def some(b: pa.RecordBatch) -> pa.RecordBatch:
-            h, offs = sets_of(b.column(0))
-            node = node_of(h, offs)
-            at = np.flatnonzero(shared.Bits.test(bits.value, node))
-            _, one = np.unique(node[at], return_index=True)
-            at = at[one]
-            return pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array([h[offs[i] : offs[i + 1]].tobytes() for i in at], pa.binary())], ["node", "hashes"])
-
-        every = shared.arrow_map(lines.select("t"), some, "node long, hashes binary")
-        return every.join(wanted, "node", "left_semi").dropDuplicates(["node"])
-
-    labels = setjoin.joined(groups, nodes, load, percent)
-    labels = labels.select(F.col("node").alias("_node"), F.col("label").alias("_label"))
-    named = found.join(labels, F.col("node") == F.col("_node"), "left").select("doc", "para", "start", "end", F.coalesce("_label", "node").alias("label"))
-    sums = named.groupBy("label").agg(F.count("*").alias("c"), F.min(F.struct("doc", "para")).alias("first")).where("c > 1").select("label", "first")
-    out = named.join(sums, "label")
-    same = F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("para") == F.col("first.para"))
-    return out.select(F.col("doc").alias(doc_id), "para", "start", "end", F.col("first.doc").alias("cluster_doc"), F.col("first.para").alias("cluster_para"), (~same).alias("removed"))
-
-
-def windows(w: T.Words, size: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of all windows of so many words, and the k-gram that winnowing keeps of each."""
-    at = T.gram_places(w.n, w.first, size)
-    if not len(at):
-        return at, np.zeros(0, np.uint64)
-    g = T.grams(w.hash, k)
-    least = g[at]
-    for j in range(1, size - k + 1):
-        np.minimum(least, g[at + j], out=least)
-    return at, least
-
-
-def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_words: int = PASSAGE, window: int = WINDOW, gap: int = GAP) -> DataFrame:
-    """A row for each stretch of at least so many words that other rows of docs hold too, in the columns of repeated_paragraphs.
-
-    Every window of a stretch occurs in another row, in lower case and whatever
-    the white space; up to gap words between two windows may differ.  para is the
-    line in which it begins.  A stretch is cut where its first occurrence by
-    doc_id turns from this row to another, so that one row keeps each window.
-    """
-    kind = docs.schema[doc_id].dataType.simpleString()
-    spark = docs.sparkSession
-
-    def pick(b: pa.RecordBatch) -> pa.RecordBatch:
-        w = T.Words(b.column(0), "nonspace")
-        at, least = windows(w, window, GRAM)
-        new = np.ones(len(at), bool)
-        row = w.row()[at]
-        new[1:] = (least[1:] != least[:-1]) | (row[1:] != row[:-1])
-        least, row = least[new], row[new]
-        order = np.lexsort((least, row))
-        least, row = least[order], row[order]
-        new = np.ones(len(row), bool)
-        new[1:] = (least[1:] != least[:-1]) | (row[1:] != row[:-1])
-        return pa.RecordBatch.from_arrays([pa.array(least[new].view(np.int64))], ["h"])
-
-    texts = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc"), F.col(text).alias("t"))
-    picks = shared.stored(shared.arrow_map(texts.select("t"), pick, "h long").groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"), "picks")
-    bits = spark.sparkContext.broadcast(shared.Bits.build(picks, "h"))
-
-    def scan(b: pa.RecordBatch) -> pa.RecordBatch:
+    def cut(b: pa.RecordBatch) -> pa.RecordBatch:
         w = T.Words(b.column(1), "nonspace")
-        at, least = windows(w, window, GRAM)
-        ok = shared.Bits.test(bits.value, least)
-        at = at[ok]
-        row = w.row()[at]
-        lead = np.concatenate([[0], np.cumsum((w.data & 0xC0) != 0x80)])
-        feeds = np.concatenate([[0], np.cumsum(w.data == 10)])
-        begin = w.offs[:-1][row]
+        row, p = paragraphs(w, radius)
+        h, offs = T.shingle_sets(p, SHINGLE)
+        lead = np.concatenate([[0], np.cumsum((w.data & 0xC0) != 0x80, dtype=np.int64)])
+        begin = lead[w.offs[:-1][row]]
+        count = np.arange(len(row)) - np.searchsorted(row, np.arange(len(w.n)))[row]
         ids = np.frombuffer(os.urandom(8 * len(w.n)), np.int64)
-        h = T.grams(w.hash, window)[at] if len(at) else np.zeros(0, np.uint64)
-        place = lambda x: pa.array((x).astype(np.int32))
-        cols = [b.column(0).take(pa.array(row)), pa.array(ids[row]), pa.array(h.view(np.int64)), place(at - w.first[row]), place(lead[w.start[at]] - lead[begin]), place(lead[w.end[at + window - 1]] - lead[begin]), place(feeds[w.start[at]] - feeds[begin])]
-        return pa.RecordBatch.from_arrays(cols, ["doc", "row", "h", "pos", "start", "end", "para"])
+        a, z = w.start[p.first[:-1]], w.end[p.first[1:] - 1]
+        small = lambda x: pa.array(x.astype(np.int32))
+        cols = [b.column(0).take(pa.array(row)), pa.array(ids[row]), small(count), small(lead[a] - begin), small(lead[z] - begin), small(p.n), pa.array(setjoin.node_of(h, offs).view(np.int64))]
+        return pa.RecordBatch.from_arrays(cols, ["doc", "row", "para", "start", "end", "words", "node"])
+
+    def distinct(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each paragraph of a batch once: node, hashes and their bounds."""
+        h, offs = T.shingle_sets(paragraphs(T.Words(column, "nonspace"), radius)[1], SHINGLE)
+        node, at = np.unique(setjoin.node_of(h, offs), return_index=True)
+        return node, *_taken(h, offs, at)
+
+    def banded(b: pa.RecordBatch) -> pa.RecordBatch:
+        node, h, offs = distinct(b.column(0))
+        keys = band_keys(h, offs, bands, rows)
+        return pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(node, bands).view(np.int64)), pa.array(np.repeat(np.diff(offs), bands))], ["key", "node", "n"])
 
     # rows get random ids, so they are stored before anything reads them twice
-    found = shared.stored(shared.arrow_map(texts, scan, f"doc {kind}, row long, h long, pos int, start int, end int, para int"), "windows")
-    same = Window.partitionBy("h").orderBy("doc", "row", "pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    first = F.struct("doc", "row", "para")
-    met = found.withColumn("first", F.first(first).over(same)).withColumn("last", F.last("row").over(same)).where(F.col("first.row") != F.col("last"))
-    met = met.select("doc", "row", "pos", "start", "end", "para", F.col("first.doc").alias("f_doc"), F.col("first.para").alias("f_para"), (F.col("first.row") != F.col("row")).alias("removed"))
-    order = Window.partitionBy("row").orderBy("pos")
-    apart = F.coalesce(F.col("pos") - F.lag("pos").over(order) > window + gap, F.lit(True))
+    found = shared.stored(shared.arrow_map(source, cut, f"doc {kind}, row long, para int, start int, end int, words int, node long"), "paragraphs")
+    near = setjoin.neighbours(shared.arrow_map(source.select("t"), banded, "key long, node long, n long", shared.BATCH))
+    groups = shared.stored(near.withColumn("index", F.lit(True)), "bands")
+    wanted = shared.stored(groups.select("node").distinct(), "banded-paragraphs")
+    bits = spark.sparkContext.broadcast(shared.Bits.build(wanted, "node"))
+
+    def described(b: pa.RecordBatch) -> pa.RecordBatch:
+        node, h, offs = distinct(b.column(0))
+        h, offs = _taken(h, offs, at := np.flatnonzero(shared.Bits.test(bits.value, node)))
+        flat = [h[a:z].tobytes() for a, z in zip(offs[:-1], offs[1:], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(node[at].view(np.int64)), pa.array(np.diff(offs)), pa.array(sigtree.signatures(h, offs), pa.binary()), pa.array(flat, pa.binary())], ["node", "n", "sig", "hashes"])
+
+    sets = shared.arrow_map(source.select("t"), described, "node long, n long, sig binary, hashes binary", shared.BATCH)
+    nodes = shared.stored(sets.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "paragraph-sets")
+    bits.destroy()
+    labels = setjoin.joined(groups, nodes, lambda some: nodes.select("node", "hashes").join(some, "node", "left_semi"), percent)
+    shared.drop(nodes, wanted)
+
+    of = labels.select(F.col("node").alias("_node"), F.col("label").alias("_label"))
+    named = found.join(shared.small(of), F.col("node") == F.col("_node"), "left").select("doc", "row", "para", "start", "end", "words", F.coalesce("_label", "node").alias("label"))
+    clusters = named.groupBy("label").agg(F.min(F.struct("doc", "row", "para")).alias("first"), F.min("row").alias("a"), F.max("row").alias("z")).where("a <> z").select("label", "first")
+    clusters = shared.stored(clusters, "clusters")
+    again = named.join(shared.small(clusters.select("label", "first.*").toDF("label", "f_doc", "f_row", "f_para")), "label")
+    again = again.withColumn("removed", (F.col("f_row") != F.col("row")) | (F.col("f_para") != F.col("para")))
+    order = Window.partitionBy("row").orderBy("para")
+    apart = F.coalesce(F.col("para") - F.lag("para").over(order) > 1, F.lit(True))
     turned = apart | (F.col("removed") != F.lag("removed").over(order))
-    met = met.withColumn("_apart", apart.cast("int")).withColumn("_turned", turned.cast("int"))
-    met = met.withColumn("stretch", F.sum("_apart").over(order)).withColumn("part", F.sum("_turned").over(order))
-    parts = met.groupBy("row", "stretch", "part").agg(F.min("pos").alias("a"), F.max("pos").alias("z"), F.min("start").alias("start"), F.max("end").alias("end"), F.min(F.struct("pos", "doc", "para", "f_doc", "f_para", "removed")).alias("x"))
-    whole, near = Window.partitionBy("row", "stretch"), Window.partitionBy("row", "stretch").orderBy("part")
-    parts = parts.withColumn("words", F.max("z").over(whole) - F.min("a").over(whole) + window).withColumn("_end", F.lag("end").over(near)).withColumn("_start", F.lead("start").over(near))
-    # words that a window kept here holds stay, though a window that goes may hold them too
-    parts = parts.where(F.col("words") >= least_words).withColumn("start", F.when(F.col("x.removed"), F.greatest("start", "_end")).otherwise(F.col("start"))).withColumn("end", F.when(F.col("x.removed"), F.least("end", "_start")).otherwise(F.col("end")))
-    return parts.where(F.col("start") < F.col("end")).select(F.col("x.doc").alias(doc_id), "x.para", "start", "end", F.col("x.f_doc").alias("cluster_doc"), F.col("x.f_para").alias("cluster_para"), "x.removed")
+    again = again.withColumn("_apart", apart.cast("int")).withColumn("_turned", turned.cast("int"))
+    again = again.withColumn("stretch", F.sum("_apart").over(order)).withColumn("part", F.sum("_turned").over(order))
+    parts = again.groupBy("row", "stretch", "part").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("words"), F.min(F.struct("para", "doc", "f_doc", "f_para", "removed")).alias("x"))
+    parts = parts.withColumn("all", F.sum("words").over(Window.partitionBy("row", "stretch"))).where(F.col("all") >= least_words)
+    out = parts.select(F.col("x.doc").alias(doc_id), "x.para", "start", "end", "words", F.col("x.f_doc").alias("cluster_doc"), F.col("x.f_para").alias("cluster_para"), "x.removed")
+    out = shared.stored(out, "passages")
+    shared.drop(found, clusters, labels)
+    return out
+
+
+def _taken(h: np.ndarray, offs: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Some of several sets."""
+    size = np.diff(offs)[at]
+    bounds = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+    return h[np.repeat(offs[:-1][at] - bounds[:-1], size) + np.arange(bounds[-1])], bounds
 
 
 def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paragraphs and passages that repeat across all documents; the spans of both overlap."""
-    docs = shared.documents(spark, sf_dir)
-    return repeated_paragraphs(docs).unionByName(repeated_passages(docs))
+    """Passages that repeat across all documents."""
+    return repeated_passages(shared.documents(spark, sf_dir))

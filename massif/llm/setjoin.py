@@ -13,7 +13,11 @@ never the result.  Work goes in two steps:
    at few comparisons; the last round takes all pairs, so that no link between
    components is lost.
 
-All pairs that are reported as edges are verified on the whole sets.
+Groups are never gathered: rows are dealt out by ranges of (hash, size, set), so
+a large group lies in many partitions, and is worked in blocks of bounded size;
+a pair of blocks is formed only where their sizes can fit.  A pair whose
+signatures cannot overlap enough falls before any set is loaded; what is left is
+verified on the whole sets.
 """
 
 from __future__ import annotations
@@ -22,16 +26,16 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import connected as components
 from . import shared, sigtree
 from . import textkit as T
-from .components import components
 
-#: Sets in a block of a large group; rows of a group that is joined with itself first; hashes kept as frequent at most (2**17 longs are broadcast); where a hash counts as frequent;
-#: rounds of likeliest partners.
-BLOCK, SMALL, FREQUENT, FREQUENT_FROM, ROUNDS = 512, 64, 1 << 17, 12, 2
+#: Sets in a block of a large group; hashes kept as frequent at most (2**17 longs are broadcast); where a hash counts as frequent; rounds of the search, all but the last of likeliest partners.
+BLOCK, FREQUENT, FREQUENT_FROM, ROUNDS = 512, 1 << 17, 12, 2
 #: Bytes of text in which a hash has to occur twice to be counted.
 COUNTED = 8 << 20
 
@@ -51,41 +55,108 @@ def frequent_hashes(docs: DataFrame, sets: Callable) -> np.ndarray:
     return np.sort(np.array([r["h"] for r in sums.orderBy(F.desc("n"), "h").limit(FREQUENT).collect()], np.int64).view(np.uint64))
 
 
+def node_of(h: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """A hash of each set, from its hashes."""
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(T.mix(h), dtype=np.uint64)])
+    return T.mix(total[offs[1:]] - total[offs[:-1]] + np.diff(offs).astype(np.uint64))
+
+
 def describe(column: pa.Array, sets: Callable, frequent: np.ndarray, percent: int) -> list[pa.Array]:
-    """node, check (two hashes of the set), n, prefix (hashes in order) and signature of each row."""
+    """node, n, prefix (hashes in order) and signature of each row."""
     h, offs = sets(column)
     n, rows = np.diff(offs), len(offs) - 1
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(T.mix(h), dtype=np.uint64)])
-    other = np.concatenate([np.zeros(1, np.uint64), np.cumsum(T.mix(h ^ T.U(0x5851F42D4C957F2D)), dtype=np.uint64)])
-    node = T.mix(total[offs[1:]] - total[offs[:-1]] + n.astype(np.uint64))
-    check = T.mix(other[offs[1:]] - other[offs[:-1]] + n.astype(np.uint64))
     row = np.repeat(np.arange(rows), n)
-    late = np.isin(h, frequent)
+    late = frequent[np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)] == h if len(frequent) else np.zeros(len(h), bool)
     order = np.lexsort((h, late, row))
     place = np.arange(len(h)) - np.repeat(offs[:-1], n)
     size = prefix_length(n, percent)
     kept = h[order][place < np.repeat(size, n)]
     bounds = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
-    return [pa.array(node.view(np.int64)), pa.array(check.view(np.int64)), pa.array(n.astype(np.int64)), pa.ListArray.from_arrays(pa.array(bounds), pa.array(kept.view(np.int64))), pa.array(sigtree.signatures(h, offs), pa.binary())]
+    return [pa.array(node_of(h, offs).view(np.int64)), pa.array(n.astype(np.int64)), pa.ListArray.from_arrays(pa.array(bounds), pa.array(kept.view(np.int64))), pa.array(sigtree.signatures(h, offs), pa.binary())]
+
+
+def _runs(t: pa.Table, names: list[str]) -> np.ndarray:
+    """Where a row differs from the one before it in any of these columns; the first always does."""
+    new = np.zeros(t.num_rows, bool)
+    new[:1] = True
+    for c in names:
+        x = t.column(c).to_numpy()
+        new[1:] |= x[1:] != x[:-1]
+    return new
+
+
+def neighbours(rows: DataFrame) -> DataFrame:
+    """rows (key, node, n, ...) of keys that other sets have too, each once, with near and near_n: the row before it, by size, in its group.
+
+    Rows are dealt out by ranges of (key, n, node) and looked at in order, so no
+    task holds a group.  At the ends of a partition single rows are kept, as the
+    rest of their group may be next door.
+    """
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    spread = rows.repartitionByRange("key", "n", "node").sortWithinPartitions("key", "n", "node")
+
+    def run(batches):
+        held, first = None, True
+        for whole in batches:
+            for b in shared.pieces(whole):
+                t = pa.Table.from_batches([b])
+                t = t if held is None else pa.concat_tables([held, t])
+                same = ~_runs(t, ["key", "node"])
+                t = t.filter(pa.array(~same)) if same.any() else t  # a set that several tasks have sent
+                # held: the last row, whose next is not known yet, and the one before it
+                skip = 1 if held is not None and held.num_rows == 2 else 0
+                if t.num_rows > skip + 1:
+                    yield from given(t, skip, t.num_rows - 1, first, False)
+                    first = False
+                held = t.slice(max(0, t.num_rows - 2))
+                if t.num_rows <= skip + 1 and skip == 0:
+                    held = t
+        if held is not None:
+            skip = 0 if first and held.num_rows == 1 else held.num_rows - 1
+            yield from given(held, skip, held.num_rows, first, True)
+
+    def given(t: pa.Table, a: int, z: int, first: bool, last: bool):
+        new = _runs(t, ["key"])
+        after = np.append(~new[1:], last)  # the next row has the same key; the end of a partition counts as if
+        keep = ~new | after
+        if first:
+            keep[0] = True
+        near, near_n = np.roll(t.column("node").to_numpy(), 1), np.roll(t.column("n").to_numpy(), 1)
+        t = t.append_column("near", pa.array(near, mask=new)).append_column("near_n", pa.array(near_n, mask=new))
+        keep[:a] = keep[z:] = False
+        out = t.filter(pa.array(keep)).combine_chunks()
+        yield from out.to_batches()
+
+    return shared.batched(spread, run, f"{fields}, near long, near_n long")
 
 
 def grouped(nodes: DataFrame, percent: int) -> DataFrame:
-    """Stored table (key, node, n, pos, near, near_n): prefix hashes that several sets have, one of which is there in its index prefix; near is the neighbour by size."""
+    """Stored table (key, node, n, index, near, near_n): prefix hashes that several sets have, one of which is there in its index prefix; near is the neighbour by size."""
     rows = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "key"))
     # of a similar pair, the smaller set has the first common hash among these
     index = F.col("pos") < F.col("n") - F.ceil(F.lit(2 * percent) * F.col("n") / (100 + percent)) + 1
-    w = Window.partitionBy("key")
-    by_size = w.orderBy("n", "node")
-    # the neighbours alone tell whether a group has more than one row, so the window never holds a group
-    found = rows.withColumn("near", F.lag("node").over(by_size)).withColumn("near_n", F.lag("n").over(by_size)).withColumn("_next", F.lead("node").over(by_size)).where(F.col("near").isNotNull() | F.col("_next").isNotNull())
-    return shared.stored(found.select("key", "node", "n", "pos", index.alias("index"), "near", "near_n"), "prefix-groups")
+    return shared.stored(neighbours(rows.select("key", "node", "n", index.alias("index"))), "prefix-groups")
 
 
-def verified(pairs: DataFrame, load: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+def likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Those pairs (a, b) of sets whose signatures may overlap enough."""
+    a = nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("sig").alias("s_a"))
+    b = nodes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sig").alias("s_b"))
+
+    def keep(t: pa.RecordBatch) -> pa.RecordBatch:
+        n = [t.column(i).to_numpy() for i in (2, 4)]
+        most = sigtree.overlaps(*n, t.column(3), t.column(5))
+        return t.select(["a", "b"]).filter(pa.array(most >= sigtree.need(*n, percent)))
+
+    joined = pairs.join(a, "a").join(b, "b").select("a", "b", "n_a", "s_a", "n_b", "s_b")
+    return shared.arrow_map(joined, keep, "a long, b long")
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, load: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     """Stored table (a, b) of those pairs whose whole sets are similar."""
-    pairs = shared.stored(pairs, "candidates")
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = shared.stored(load(nodes), "sets")
+    pairs = shared.stored(likely(pairs, nodes, percent), "candidates")
+    wanted = shared.stored(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "wanted")
+    sets = shared.stored(load(wanted), "sets")
     a = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x"))
     b = sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
 
@@ -105,7 +176,7 @@ def verified(pairs: DataFrame, load: Callable[[DataFrame], DataFrame], percent:
 
     joined = pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "x", "y")
     links = shared.stored(shared.arrow_map(joined, compare, "a long, b long"), "links")
-    shared.drop(sets, pairs)
+    shared.drop(sets, wanted, pairs)
     return links
 
 
@@ -118,58 +189,72 @@ def first_pairs(groups: DataFrame, percent: int) -> DataFrame:
     return best[0].unionByName(best[1]).distinct()
 
 
-def mixed_groups(groups: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Stored rows (key, node, n, pos, index, label) of groups with several labels, without rows that no other row of a small group fits."""
+def distinct_groups(groups: DataFrame) -> DataFrame:
+    """Stored rows (key, node, n) of one of all groups that have the same sets, if one of those has a set in its index prefix.
+
+    A passage or a family of copies makes one group for each of its hashes; two
+    hashes of the members tell that they are the same.
+    """
+    h = F.xxhash64("node", F.lit(1))
+    known = groups.groupBy("key").agg(F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.shiftright(h, 24)).alias("y"), F.count("*").alias("c"), F.max("index").alias("i"))
+    kept = known.where("c > 1").groupBy("x", "y", "c").agg(F.min("key").alias("key"), F.max("i").alias("i")).where("i").select("key")
+    return shared.stored(groups.select("key", "node", "n").join(kept, "key"), "distinct-groups")
+
+
+def mixed_groups(groups: DataFrame, labels: DataFrame) -> DataFrame:
+    """Stored rows (key, node, n, label, minor, block) of groups with several labels; minor is false for the label that most rows of a large group have."""
     labels = labels.select(F.col("node").alias("_n"), "label")
-    rows = groups.select("key", "node", "n", "pos", "index")
-    rows = rows.join(shared.small(labels, 24), rows["node"] == F.col("_n"), "left").select("key", "node", "n", "pos", "index", F.coalesce("label", "node").alias("label"))
-    mixed = rows.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("m"), F.max("index").alias("i"), F.count("*").alias("c")).where("l <> m AND i").select("key", "c")
-    rows = shared.stored(rows.join(mixed, "key"), "mixed-groups")
-    o = rows.where(F.col("c") <= SMALL).select("key", *[F.col(c).alias(f"o_{c}") for c in ("node", "n", "pos", "index", "label")])
-    least, most = F.least("n", "o_n"), F.greatest("n", "o_n")
-    need = F.ceil(F.lit(percent) * (F.col("n") + F.col("o_n")) / (100 + percent))
-    begins = F.when(F.col("n") < F.col("o_n"), F.col("index")).when(F.col("n") > F.col("o_n"), F.col("o_index")).otherwise(F.col("index") | F.col("o_index"))
-    fits = (F.col("label") != F.col("o_label")) & (100 * least >= percent * most) & (F.least(F.col("n") - F.col("pos"), F.col("o_n") - F.col("o_pos")) >= need) & begins
-    few = rows.where(F.col("c") <= SMALL)
-    few = few.join(o, (few["key"] == o["key"]) & fits, "left_semi")
-    out = shared.stored(few.unionByName(rows.where(F.col("c") > SMALL)).drop("c"), "fitting-groups")
-    shared.drop(rows)
-    return out
+    rows = groups.join(shared.small(labels), groups["node"] == F.col("_n"), "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))
+    each = rows.groupBy("key", "label").agg(F.count("*").alias("c"))
+    major = each.groupBy("key").agg(F.max(F.struct("c", "label")).alias("m"), F.sum("c").alias("all")).where(F.col("m.c") < F.col("all"))
+    minor = (F.col("label") != F.col("m.label")) | (F.col("all") <= BLOCK)
+    return shared.stored(blocks(rows.join(major, "key").select("key", "node", "n", "label", minor.alias("minor"))), "mixed-groups")
+
+
+def blocks(rows: DataFrame) -> DataFrame:
+    """rows (key, minor, n, node, ...) with block: runs of at most BLOCK rows of one group and side, by size; dealt out by ranges, so that no task holds a group."""
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    spread = rows.repartitionByRange("key", "minor", "n", "node").sortWithinPartitions("key", "minor", "n", "node")
+    most = BLOCK
+
+    def run(batches):
+        part, last, count, block = TaskContext.get().partitionId() << 33, None, 0, -1
+        for whole in batches:
+            for b in shared.pieces(whole):
+                key, minor = b.column("key").to_numpy(), b.column("minor").to_numpy(zero_copy_only=False)
+                out = np.empty(len(key), np.int64)
+                new = np.ones(len(key), bool)
+                new[1:] = (key[1:] != key[:-1]) | (minor[1:] != minor[:-1])
+                starts = np.flatnonzero(new)
+                for a, z in zip(starts, np.append(starts[1:], len(key)), strict=True):
+                    if last != (key[a], minor[a]):
+                        last, count, block = (key[a], minor[a]), 0, block + 1
+                    steps = (count + np.arange(z - a)) // most
+                    out[a:z] = block + steps
+                    block, count = int(out[z - 1]), (count + int(z - a) - 1) % most + 1
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out + part)], [*b.schema.names, "block"])
+
+    return shared.batched(spread, run, f"{fields}, block long")
 
 
 def rest_pairs(rows: DataFrame, nodes: DataFrame, percent: int, best: bool) -> DataFrame:
     """Pairs (a, b) of sets with different labels that share a group of rows and that the signature trees leave over; best: of each set and group one alone."""
-    # the label with the most rows of a group meets the others only; blocks of a group hold one side each
-    major = rows.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "label")).alias("m"), F.sum("c").alias("all")).select("key", F.col("m.label").alias("major"), F.col("m.c").alias("n_major"), (F.col("all") - F.col("m.c")).alias("n_minor"))
-    sided = rows.join(major, "key").withColumn("minor", F.col("label") != F.col("major"))
-    small = (F.col("n_major") + F.col("n_minor")) <= BLOCK
-    place = F.row_number().over(Window.partitionBy("key", "minor").orderBy("n", "node"))
-    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
-    large = sided.where(~small).withColumn("block", F.floor((place - 1) / BLOCK).cast("int"))
-    # a major block meets each minor block; a minor block also meets the minor blocks
-    major_tasks = F.transform(F.sequence(F.lit(0), blocks("n_minor") - 1), lambda j: F.struct(F.col("block").alias("x"), (-j - 1).alias("y")))
-    minor_tasks = F.concat(
-        F.transform(F.sequence(F.lit(0), blocks("n_major") - 1), lambda i: F.struct(i.alias("x"), (-F.col("block") - 1).alias("y"))),
-        F.transform(F.sequence(F.lit(0), blocks("n_minor") - 1), lambda j: F.struct((-F.greatest(j, F.col("block")) - 1).alias("x"), (-F.least(j, F.col("block")) - 1).alias("y"))),
-    )
-    tasks = large.withColumn("task", F.explode(F.when(F.col("minor"), minor_tasks).otherwise(major_tasks)))
-    wanted = ["key", "node", "n", "pos", "index", "label"]
-    every = sided.where(small).select(*wanted, F.xxhash64("key").alias("task")).unionByName(tasks.select(*wanted, F.xxhash64("key", "task.x", "task.y").alias("task")))
-    signed = every.join(nodes.select("node", "sig"), "node")
-    spread = signed.select("task", "node", "n", "pos", "index", "label", "sig").repartition("task").sortWithinPartitions("task")
-
-    def search(t: pa.Table) -> pa.RecordBatch | None:
-        task, node, n, pos, label = (t.column(c).to_numpy() for c in ("task", "node", "n", "pos", "label"))
-        index = t.column("index").to_numpy(zero_copy_only=False) if isinstance(t, pa.RecordBatch) else t.column("index").to_numpy()
-        n, pos = n.astype(np.int64), pos.astype(np.int64)
+    # the label with the most rows of a group meets the others only; a block is met by those whose sizes fit
+    sides = rows.groupBy("key", "minor", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    o = sides.select("key", *[F.col(c).alias(f"o_{c}") for c in ("minor", "block", "lo", "hi")])
+    fits = (100 * F.col("hi") >= percent * F.col("o_lo")) & (100 * F.col("o_hi") >= percent * F.col("lo")) & (F.col("minor") | F.col("o_minor"))
+    met = sides.join(o, "key").where(fits & (F.col("block") <= F.col("o_block"))).select("key", F.col("block").alias("x"), F.col("o_block").alias("y"))
+    met = met.withColumn("task", F.xxhash64("key", "x", "y"))
+    ends = met.select("task", F.col("x").alias("block")).unionByName(met.where("x <> y").select("task", F.col("y").alias("block")))
+    signed = rows.join(ends, "block").join(nodes.select("node", "sig"), "node")
+    spread = signed.select("task", "node", "n", "label", "sig").repartition("task").sortWithinPartitions("task")
+
+    def search(t: pa.RecordBatch) -> pa.RecordBatch | None:
+        task, node, n, label = (t.column(c).to_numpy() for c in ("task", "node", "n", "label"))
+        n = n.astype(np.int64)
         _, group = np.unique(task, return_inverse=True)
         _, lab = np.unique(label, return_inverse=True)
         i, j, most = sigtree.candidates(group, n, lab, t.column("sig").to_pylist(), percent)
-        # the smaller set's index prefix, and what can follow the first common hash
-        short = np.where(n[i] <= n[j], i, j)
-        either = (n[i] == n[j]) & (index[i] | index[j])
-        keep = (index[short] | either) & (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= sigtree.need(n[i], n[j], percent)) & (node[i] != node[j])
-        i, j, most = i[keep], j[keep], most[keep]
         if best and len(i):
             both, other, like = np.concatenate([i, j]), np.concatenate([j, i]), np.tile(most / (n[i] + n[j]), 2)
             order = np.lexsort((node[other], -like, both))
@@ -194,29 +279,33 @@ def rest_pairs(rows: DataFrame, nodes: DataFrame, percent: int, best: bool) -> D
         if held is not None and (out := search(held.combine_chunks())) is not None:
             yield out
 
-    return spread.mapInArrow(run, "a long, b long")
+    return shared.batched(spread, run, "a long, b long")
 
 
 def similar_components(nodes: DataFrame, load: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     """(node, label) of the sets that are similar to another: label is the least node of the component.
 
-    nodes: stored table (node, n, prefix, sig) of distinct sets; load gives (node, hashes) for a table of nodes.
+    nodes: stored table (node, n, prefix, sig) of distinct sets, node being a hash of the set; load gives (node, hashes) for a table of nodes.
     """
     return joined(grouped(nodes, percent), nodes, load, percent)
 
 
 def joined(groups: DataFrame, nodes: DataFrame, load: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     """similar_components, from groups as grouped gives them."""
-    links = verified(first_pairs(groups, percent), load, percent)
+    links = verified(first_pairs(groups, percent), nodes, load, percent)
     labels = components(links)
+    every, groups = groups, distinct_groups(groups)
+    shared.drop(every)
     for k in range(ROUNDS):
         best = k < ROUNDS - 1
-        rows = mixed_groups(groups, labels, percent)
-        more = verified(_fewest(rest_pairs(rows, nodes, percent, best), best), load, percent)
+        rows = mixed_groups(groups, labels)
+        more = verified(_fewest(rest_pairs(rows, nodes, percent, best), best), nodes, load, percent)
         shared.drop(rows)
         if not more.isEmpty():
             links = links.unionByName(more)
+            shared.drop(labels)
             labels = components(links)
+    shared.drop(groups)
     return labels
 
 

@@ -2,55 +2,40 @@
 
 from __future__ import annotations
 
-import uuid
+import ctypes
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BROADCAST_BYTES = 32 << 20
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir.
-
-    Where the setting is unset, as in tests, one is set below the temporary folder.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not found:
-        import tempfile
+from ..functions.storage import drop, new_folder, shared_folder, stored
 
-        found = "file://" + tempfile.gettempdir() + "/massif-shared"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as a table in the shared folder and read again: lineage ends here."""
-    path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._stored_at = path
-    return out
+__all__ = ["Bits", "arrow_map", "documents", "drop", "new_folder", "pieces", "shared_folder", "small", "stored", "table"]
 
+#: Bytes that are broadcast at most.
+BROADCAST_BYTES = 32 << 20
 
-def drop(*tables: DataFrame) -> None:
-    """Deletes stored tables that nothing will read again: all that came from them is stored itself."""
-    for t in tables:
-        spark = t.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(t._stored_at)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
+def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if the bytes of its rows, as counted, fit the limit; else as it is.
 
-def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """df with a broadcast hint if its counted rows fit the limit, else as it is."""
-    most = limit // row_bytes
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    df should be a stored table: it is read once to be counted.
+    """
+    size = F.lit(0).cast("long")
+    for f in df.schema:
+        kind = f.dataType.simpleString()
+        if kind in ("string", "binary"):
+            size += F.coalesce(F.octet_length(f.name), F.lit(0)) + 16
+        elif kind.startswith("array<string"):
+            size += F.coalesce(F.aggregate(f.name, F.lit(0), lambda n, x: n + F.coalesce(F.octet_length(x), F.lit(0)) + 24), F.lit(0)) + 16
+        elif kind.startswith(("array", "map", "struct")):
+            raise TypeError(f"no count of bytes for {kind}")
+        else:
+            size += 8
+    total = df.select(F.sum(size + 32)).first()[0] or 0
+    return F.broadcast(df) if total <= limit else df
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,6 +84,8 @@ class Bits:
 
 #: Bytes of a batch that a kernel works on at once; a single longer row makes a batch of its own.
 PIECE = 1 << 20
+#: Bytes at which Spark ends a batch that it sends to a Python worker.
+BATCH = 4 << 20
 
 
 def pieces(batch, most: int = PIECE):
@@ -110,6 +97,30 @@ def pieces(batch, most: int = PIECE):
     return [*pieces(batch.slice(0, half), most), *pieces(batch.slice(half), most)]
 
 
+def trim() -> None:
+    """Gives memory that a worker no longer uses back to the system: workers live on after their tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def batched(df: DataFrame, f: Callable, schema: str) -> DataFrame:
+    """df.mapInArrow(f), with batches that are bounded in bytes, and memory given back after each task."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxBytesPerBatch").lower().rstrip("b")) > BATCH:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
+
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            trim()
+
+    return df.mapInArrow(run, schema)
+
+
 def arrow_map(df: DataFrame, f: Callable, schema: str, most: int = PIECE) -> DataFrame:
     """mapInArrow with f(batch) -> batch or None, over batches of bounded size."""
 
@@ -120,4 +131,4 @@ def arrow_map(df: DataFrame, f: Callable, schema: str, most: int = PIECE) -> Dat
                 if out is not None and out.num_rows:
                     yield out
 
-    return df.mapInArrow(run, schema)
+    return batched(df, run, schema)

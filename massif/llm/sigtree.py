@@ -12,6 +12,7 @@ sets.  Many groups are traversed at once, level by level.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 
 FANOUT = 8
 #: Widths in bits; a set gets the first that is at least twice its size, the last at most.
@@ -116,6 +117,20 @@ def fold(bits: np.ndarray, words: int) -> np.ndarray:
     return np.bitwise_or.reduce(bits.reshape(len(bits), -1, words), axis=1)
 
 
+def overlaps(n_a: np.ndarray, n_b: np.ndarray, a: pa.Array, b: pa.Array) -> np.ndarray:
+    """How much the sets of each pair overlap at most, by their bitmaps."""
+    ca, cb = width_class(n_a), width_class(n_b)
+    most = np.zeros(len(n_a), np.int64)
+    for x, y in {*zip(ca.tolist(), cb.tolist(), strict=True)}:
+        at = np.flatnonzero((ca == x) & (cb == y))
+        words = WIDTHS[min(x, y)] // 64
+        p, q = (fold(np.frombuffer(b"".join(c.take(pa.array(at)).to_pylist()), np.uint64).reshape(len(at), -1), words) for c in (a, b))
+        hidden = [n[at] - np.bitwise_count(bits).sum(axis=1).astype(np.int64) for n, bits in ((n_a, p), (n_b, q))]
+        both = np.bitwise_count(p & q).sum(axis=1).astype(np.int64)
+        most[at] = np.minimum(both + np.minimum(*hidden), np.minimum(n_a[at], n_b[at]))
+    return most
+
+
 def candidates(group: np.ndarray, n: np.ndarray, label: np.ndarray, sigs: list[bytes], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs of rows of the same group, of different labels, that may overlap enough, and by how much at most."""
     order = np.lexsort((n, group))

@@ -86,23 +86,50 @@ def powers(n: int, base: np.uint64) -> np.ndarray:
     return np.multiply.accumulate(p, dtype=np.uint64)
 
 
+#: Bytes that are hashed at once.
+HASHED = 1 << 17
+
+
+@lru_cache(4)
+def block_powers(base: int) -> np.ndarray:
+    return powers(HASHED, U(base))
+
+
 class Hasher:
-    """Hashes of byte ranges of one buffer."""
+    """Hashes of byte ranges of one buffer, worked on in blocks, so that memory does not grow with the ranges."""
 
     def __init__(self, data: np.ndarray, seed: int = 1):
-        base = (_R1 if seed % 2 else _R2) + U(2 * seed)
-        # ranges up to 2**16 bytes away share one block of powers, so that the table stays small
-        self.base, n = base, len(data)
-        self.inv = U(pow(int(base), -1, 2**64))
-        p = powers(n, base)
-        self.prefix = np.empty(n + 1, np.uint64)
-        self.prefix[0] = U(0)
-        np.cumsum(byte_values(seed)[data] * p, dtype=np.uint64, out=self.prefix[1:])
-        del p
-        self.ipow = powers(n + 1, self.inv)
+        self.data, self.values = data, byte_values(seed)
+        self.base = int((_R1 if seed % 2 else _R2) + U(2 * seed))
+
+    def _sums(self, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The polynomial of each range; the ranges have HASHED bytes at most, and HASHED together."""
+        bounds = np.concatenate([[0], np.cumsum(size)])
+        place = np.arange(bounds[-1]) - np.repeat(bounds[:-1], size)
+        terms = self.values[self.data[np.repeat(start, size) + place]] * block_powers(self.base)[place]
+        out = np.zeros(len(start), np.uint64)
+        full = np.flatnonzero(size)
+        if len(full):
+            out[full] = np.add.reduceat(terms, bounds[full], dtype=np.uint64)
+        return out
 
     def ranges(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.prefix[end] - self.prefix[start]) * self.ipow[start] + (end - start).astype(np.uint64) * U(0x632BE59BD9B4E019))
+        start, size = np.asarray(start, np.int64), np.asarray(end - start, np.int64)
+        out = np.empty(len(start), np.uint64)
+        total, i = np.cumsum(size), 0
+        while i < len(start):
+            j = int(np.searchsorted(total, total[i] - size[i] + HASHED, side="right"))
+            if j > i:
+                out[i:j] = self._sums(start[i:j], size[i:j])
+            else:  # one range of more than a block
+                j, whole, factor = i + 1, 0, 1
+                for a in range(int(start[i]), int(start[i] + size[i]), HASHED):
+                    n = min(HASHED, int(start[i] + size[i]) - a)
+                    whole = (whole + factor * int(self._sums(np.array([a]), np.array([n]))[0])) % 2**64
+                    factor = factor * pow(self.base, n, 2**64) % 2**64
+                out[i] = U(whole)
+            i = j
+        return mix(out + size.astype(np.uint64) * U(0x632BE59BD9B4E019))
 
 
 def spans(inside: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -174,10 +201,10 @@ def shingle_sets(w: Words, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
     at = gram_places(w.n, w.first, k)
     g = grams(w.hash, k)[at] if len(at) else np.zeros(0, np.uint64)
     row = np.repeat(np.arange(rows), np.maximum(w.n - k + 1, 0))
-    short = np.flatnonzero((w.n > 0) & (w.n < k))
-    if len(short):
-        extra = np.array([grams(w.hash[w.first[r] : w.first[r + 1]], int(w.n[r]))[0] for r in short], np.uint64)
-        g, row = np.concatenate([g, extra]), np.concatenate([row, short])
+    for m in range(1, k):
+        short = np.flatnonzero(w.n == m)
+        if len(short):
+            g, row = np.concatenate([g, grams(w.hash, m)[w.first[short]]]), np.concatenate([row, short])
     order = np.lexsort((g, row))
     g, row = g[order], row[order]
     if len(g):
@@ -185,7 +212,3 @@ def shingle_sets(w: Words, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
         new[1:] = (g[1:] != g[:-1]) | (row[1:] != row[:-1])
         g, row = g[new], row[new]
     return g, np.searchsorted(row, np.arange(rows + 1))
-
-
-def signed(h: np.ndarray) -> np.ndarray:
-    return h.view(np.int64) if h.dtype == np.uint64 else h
