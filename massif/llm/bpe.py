@@ -1,31 +1,35 @@
 """Byte-level BPE by a global shuffle of distinct words.
 
-1. Each document is cut into pre-tokens; each Arrow batch sends its distinct
-   pre-tokens with counts, and one aggregation makes the corpus's vocabulary.
-2. Each distinct pre-token is encoded once and stored as a table.
-3. The ids come back to the documents.  The frequent head of the vocabulary,
-   bounded by ``head_words``, is broadcast as flat arrays; every other word is
-   exploded with its position, joined with the stored table by word, and put
-   back in its place by document and position.  A word of the tail is rare by
-   definition, so no join key is hot.
-4. Decoding looks each id up in the token-byte table of the vocabulary file.
+1. Documents are cut into pre-tokens.  The most frequent, at most HEAD_WORDS of
+   them, are counted, encoded once, and broadcast as flat arrays.
+2. Every other pre-token is exploded with its document and position and shuffled
+   by word, so that all its occurrences meet: each distinct word is encoded once,
+   and its ids go back with the positions.  Frequent words are in the head, so
+   no word is hot here.
+3. The ids join their documents, and are put in their places by position.  What
+   is shuffled for this is the compressed text, as that is smaller than its ids.
+4. Decoding joins ids with the token-byte table of the vocabulary, map-side: the
+   table has as many rows as the vocabulary file, whatever the data.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shared
 from . import textkit as T
 
-HEAD_WORDS, SLICES = 4_000_000, 8
+#: Pre-tokens in the broadcast head at most; occurrences in a batch from which a pre-token is counted for it.
+HEAD_WORDS, COUNTED_FROM = 1 << 18, 2
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 
 
@@ -103,31 +107,34 @@ def ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-class Coder:
-    """Encodes single pre-tokens, and holds the token-byte table."""
+class Table:
+    """The token-byte table: the bytes of each id, one after another, and their bounds; small enough to broadcast."""
 
     def __init__(self, path: str):
-        import tiktoken
-
         table = ranks(path)
-        self.core = tiktoken.Encoding("massif", pat_str=r"(?s:.+)", mergeable_ranks=table, special_tokens={})
-        size = max(table.values()) + 1
-        tokens = [b""] * size
+        tokens = [b""] * (max(table.values()) + 1)
         for token, i in table.items():
             tokens[i] = token
         self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
         self.at = np.concatenate([[0], np.cumsum([len(t) for t in tokens])]).astype(np.int64)
 
-    def encode(self, word: bytes) -> list[int]:
-        return self.core._encode_single_piece(word)
+    def ranks(self) -> dict[bytes, int]:
+        flat, at = self.bytes.tobytes(), self.at.tolist()
+        return {flat[a:z]: i for i, (a, z) in enumerate(zip(at[:-1], at[1:], strict=True)) if z > a}
+
+
+_CODERS: dict[bytes, object] = {}
 
-    def decode(self, ids: np.ndarray) -> np.ndarray:
-        return gather(self.bytes, self.at[ids], self.at[ids + 1])[0]
 
+def coder(table: Table):
+    """Gives the ids of a single pre-token; one for each worker and vocabulary."""
+    import tiktoken
 
-@lru_cache(2)
-def coder(path: str) -> Coder:
-    return Coder(path)
+    key = hashlib.sha256(table.bytes.tobytes() + table.at.tobytes()).digest()
+    if key not in _CODERS:
+        _CODERS.clear()
+        _CODERS[key] = tiktoken.Encoding("massif", pat_str=r"(?s:.+)", mergeable_ranks=table.ranks(), special_tokens={})._encode_single_piece
+    return _CODERS[key]
 
 
 def gather(flat: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -137,128 +144,114 @@ def gather(flat: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nda
     return flat[np.repeat(start - bounds[:-1], size) + np.arange(bounds[-1])], bounds
 
 
-def vocabulary(docs: DataFrame, text: str, path: str) -> DataFrame:
-    """Table (word, h1, h2, n, ids): each distinct pre-token of the corpus once, with its ids as 32-bit integers."""
+def _words(data: np.ndarray, bounds: np.ndarray, at: np.ndarray) -> pa.Array:
+    flat, off = gather(data, bounds[at], bounds[at + 1])
+    return pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(off.astype(np.int32)), pa.py_buffer(flat)])
 
-    def distinct(b: pa.RecordBatch) -> pa.RecordBatch:
-        data, bounds, _ = pretokens(b.column(0))
-        h = T.Hasher(data).ranges(bounds[:-1], bounds[1:])
-        _, at, n = np.unique(h, return_index=True, return_counts=True)
-        flat, off = gather(data, bounds[at], bounds[at + 1])
-        words = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(off.astype(np.int32)), pa.py_buffer(flat)])
-        return pa.RecordBatch.from_arrays([words, pa.array(n)], ["word", "n"])
-
-    def encode(b: pa.RecordBatch) -> pa.RecordBatch:
-        c = coder(path)
-        data, off = T.buffers(b.column(0))
-        h1, h2 = T.Hasher(data, 1).ranges(off[:-1], off[1:]), T.Hasher(data, 2).ranges(off[:-1], off[1:])
-        ids = [np.array(c.encode(w), "<u4").tobytes() for w in b.column(0).to_pylist()]
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array(h1.view(np.int64)), pa.array((h2 >> T.U(33)).astype(np.int32)), b.column(1), pa.array(ids, pa.binary())], ["word", "h1", "h2", "n", "ids"])
-
-    words = shared.arrow_map(docs.select(text), distinct, "word binary, n long", 4 * shared.PIECE).groupBy("word").agg(F.sum("n").alias("n"))
-    return shared.stored(shared.arrow_map(words, encode, "word binary, h1 long, h2 int, n long, ids binary"), "bpe-vocabulary")
-
-
-def head(words: DataFrame, most: int) -> tuple[tuple[np.ndarray, ...], bool]:
-    """The most frequent words, at most so many, as sorted arrays; whether they are all."""
-    grade = F.floor(F.log2("n") * 8)
-    counts = sorted(((r["g"], r["c"]) for r in words.groupBy(grade.alias("g")).agg(F.count("*").alias("c")).collect()), reverse=True)
-    room, least, whole = most, None, True
-    for g, c in counts:
-        if c > room:
-            whole = False
-            break
-        room, least = room - c, g
-    empty = (np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(1, np.int32), np.zeros(0, np.uint32))
-    if least is None:
-        return empty, whole
-    parts = []
-    for k in range(SLICES):  # by the leading bits of the hash: slices are small, and in order
-        t = words.where(grade >= least).where(F.shiftrightunsigned("h1", 64 - SLICES.bit_length() + 1) == k).select("h1", "h2", "ids").toArrow()
-        if not t.num_rows:
-            continue
-        h1 = t["h1"].to_numpy().view(np.uint64)
+
+class Head:
+    """The most frequent pre-tokens: two hashes of each, in order of the first, and their ids."""
+
+    def __init__(self, words: list[bytes], table: Table):
+        column = pa.array(words, pa.binary())
+        data, off = T.buffers(column)
+        h1, h2 = _hashes(data, off[:-1], off[1:])
         order = np.argsort(h1, kind="stable")
-        flat, off = T.buffers(t["ids"])
-        flat, bounds = gather(flat.view("<u4"), off[order] // 4, off[order + 1] // 4)
-        parts.append((h1[order], t["h2"].to_numpy()[order], np.diff(bounds), flat))
-        del t
-    if not parts:
-        return empty, whole
-    h1, h2, size, flat = (np.concatenate(x) for x in zip(*parts, strict=True))
-    bounds = np.concatenate([[0], np.cumsum(size)])
-    return (h1, h2, bounds.astype(np.int32 if bounds[-1] < 2**31 else np.int64), flat), whole
+        encode = coder(table)
+        ids = [encode(words[k]) for k in order.tolist()]
+        self.h1, self.h2 = h1[order], h2[order]
+        self.bounds = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int64)
+        self.ids = np.array([x for i in ids for x in i], np.uint32)
+
+    def find(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each pre-token, whether it is in the head, and where its ids begin and end."""
+        if not len(self.h1) or len(bounds) < 2:
+            n = len(bounds) - 1
+            return np.zeros(n, bool), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        first = T.Hasher(data, 1).ranges(bounds[:-1], bounds[1:])
+        u, where, back = np.unique(first, return_index=True, return_inverse=True)
+        _, second = _hashes(data, bounds[where], bounds[where + 1])
+        p = np.minimum(np.searchsorted(self.h1, u), len(self.h1) - 1)
+        hit = (self.h1[p] == u) & (self.h2[p] == second)
+        return hit[back], np.where(hit, self.bounds[p], 0)[back], np.where(hit, self.bounds[p + 1], 0)[back]
+
+
+def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return T.Hasher(data, 1).ranges(start, end), (T.Hasher(data, 2).ranges(start, end) >> T.U(32)).astype(np.uint32)
+
+
+def frequent_words(docs: DataFrame, text: str, most: int) -> list[bytes]:
+    """The most frequent pre-tokens, by lossy counting: batches send what occurs in them more than once.  They steer what is broadcast, never the result."""
+
+    def count(b: pa.RecordBatch) -> pa.RecordBatch:
+        data, bounds, _ = pretokens(b.column(0))
+        _, at, n = np.unique(T.Hasher(data).ranges(bounds[:-1], bounds[1:]), return_index=True, return_counts=True)
+        at, n = at[n >= COUNTED_FROM], n[n >= COUNTED_FROM]
+        return pa.RecordBatch.from_arrays([_words(data, bounds, at), pa.array(n)], ["word", "n"])
+
+    sums = shared.arrow_map(docs.select(text), count, "word binary, n long", shared.BATCH).groupBy("word").agg(F.sum("n").alias("n"))
+    return [bytes(r["word"]) for r in shared.most_counted(sums, most).select("word").collect()] if most else []
 
 
 def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", head_words: int = HEAD_WORDS) -> DataFrame:
-    """Rows (doc_id, text, ids): ids is a binary of little-endian 32-bit integers, for every row of docs.
+    """Rows (doc_id, ids): ids is a binary of little-endian 32-bit integers, for every row of docs.
 
     A null or empty text has no ids (an empty binary).  Rows that repeat are
     encoded each.  Other columns are ignored; doc_id may be null.
     """
     spark = docs.sparkSession
-    words = vocabulary(docs, text, path)
-    arrays, whole = head(words, head_words)
-    known = spark.sparkContext.broadcast(arrays)
     kind = docs.schema[doc_id].dataType.simpleString()
-
-    def lookup(b: pa.RecordBatch):
-        h1, h2, at, flat = known.value
-        data, bounds, first = pretokens(b.column(1))
-        g1 = T.Hasher(data, 1).ranges(bounds[:-1], bounds[1:])
-        u, where, back = np.unique(g1, return_index=True, return_inverse=True)
-        g2 = (T.Hasher(data, 2).ranges(bounds[where], bounds[where + 1]) >> T.U(33)).astype(np.int32)
-        p = np.minimum(np.searchsorted(h1, u), max(len(h1) - 1, 0))
-        hit = (h1[p] == u) & (h2[p] == g2) if len(h1) else np.zeros(len(u), bool)
-        a, z = (at[p].astype(np.int64), at[p + 1].astype(np.int64)) if len(h1) else (np.zeros(len(u), np.int64),) * 2
-        a, z = np.where(hit, a, 0), np.where(hit, z, 0)
-        ids, off = gather(flat, a[back], z[back]) if len(back) else (flat[:0], np.zeros(1, np.int64))
-        return data, bounds, first, ids, off, np.flatnonzero(~hit[back]) if len(back) else back
-
-    def complete(b: pa.RecordBatch) -> pa.RecordBatch:
-        *_, first, ids, off, tail = lookup(b)
-        if len(tail):
-            raise RuntimeError("a pre-token is missing from the vocabulary: the documents changed while they were read")
-        return pa.RecordBatch.from_arrays([*b.columns[:1], _binary(ids, off[first])], ["doc", "ids"])
-
-    def partial(b: pa.RecordBatch) -> pa.RecordBatch:
-        data, bounds, first, ids, off, tail = lookup(b)
+    rows = docs.select(F.col(doc_id).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    rows = rows.withColumn("key", F.xxhash64(F.col("doc").cast("string"), "t"))
+    table = spark.sparkContext.broadcast(Table(path))
+    head = spark.sparkContext.broadcast(Head(frequent_words(rows, "t", head_words), table.value))
+
+    def explode(b: pa.RecordBatch) -> pa.RecordBatch:
+        _, once = np.unique(b.column(0).to_numpy(), return_index=True)  # rows that repeat need their words once
+        key, texts = b.column(0).to_numpy()[once], b.column(1).take(pa.array(once))
+        data, bounds, first = pretokens(texts)
+        tail = np.flatnonzero(~head.value.find(data, bounds)[0])
         row = np.searchsorted(first, tail, side="right") - 1
-        key = T.Hasher(data).ranges(T.buffers(b.column(1))[1][:-1], T.buffers(b.column(1))[1][1:]).view(np.int64)
-        flat, o = gather(data, bounds[tail], bounds[tail + 1])
-        missing = pa.Array.from_buffers(pa.binary(), len(tail), [None, pa.py_buffer(o.astype(np.int32)), pa.py_buffer(flat)])
-        n, m = b.num_rows, len(tail)
-        lists = [
-            pa.concat_arrays([b.column(0), b.column(0).take(pa.array(row))]),
-            pa.concat_arrays([pa.array(key), pa.array(key[row])]),
-            pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(tail - first[row])]),
-            pa.concat_arrays([pa.array([b""] * n, pa.binary()), missing]) if n else missing,
-            pa.concat_arrays([_binary(ids, off[first]), pa.nulls(m, pa.binary())]),
-            # where tail words go: the place among the head's ids before which each belongs
-            pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(off[tail] - off[first[row]])]),
-        ]
-        return pa.RecordBatch.from_arrays(lists, ["doc", "key", "pos", "word", "ids", "at"])
-
-    if whole:
-        return shared.arrow_map(docs.select(doc_id, text), complete, f"doc {kind}, ids binary").withColumnRenamed("doc", doc_id)
-
-    rows = shared.arrow_map(docs.select(doc_id, text), partial, f"doc {kind}, key long, pos long, word binary, ids binary, at long")
-    parts = shared.stored(rows, "bpe-parts")
-    tail = parts.where(F.col("pos").isNotNull()).select("doc", "key", "pos", "at", "word").distinct().join(words.select("word", F.col("ids").alias("w_ids")), "word")
-    places = tail.groupBy("doc", "key").agg(F.array_sort(F.collect_list(F.struct("pos", "at", "w_ids"))).alias("tail"))
-    heads = parts.where(F.col("pos").isNull()).select("doc", "key", "ids")
-    joined = heads.join(places, heads["doc"].eqNullSafe(places["doc"]) & (heads["key"] == places["key"]), "left").select(heads["doc"].alias("doc"), heads["ids"].alias("ids"), "tail")
+        return pa.RecordBatch.from_arrays([pa.array(key[row]), pa.array((tail - first[row]).astype(np.int32)), _words(data, bounds, tail)], ["key", "pos", "word"])
+
+    def encode_once(batches):
+        one, last, ids = coder(table.value), None, b""
+        for whole in batches:
+            for b in shared.pieces(whole):
+                out = []
+                for word in b.column(2).to_pylist():  # sorted, so equal words follow one another
+                    if word != last:
+                        last, ids = word, np.array(one(word), "<u4").tobytes()
+                    out.append(ids)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], ["key", "pos", "ids"])
+
+    def pack(b: pa.RecordBatch) -> pa.RecordBatch:
+        c = zstandard.ZstdCompressor(level=1, write_content_size=True)
+        data, off = T.buffers(b.column(2))
+        raw = memoryview(data)
+        return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([c.compress(raw[a:z]) for a, z in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)], pa.binary())], ["doc", "key", "body"])
 
     def fill(b: pa.RecordBatch) -> pa.RecordBatch:
-        out = []
-        for ids, more in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-            parts, upto = [], 0
-            for x in more or []:
-                parts += [ids[4 * upto : 4 * x["at"]], x["w_ids"]]
-                upto = x["at"]
-            out.append(b"".join([*parts, ids[4 * upto :]]))
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["doc", "ids"])
-
+        d = zstandard.ZstdDecompressor()
+        data, bounds, first = pretokens(pa.array([d.decompress(x) for x in b.column(1).to_pylist()], pa.large_binary()))
+        found, a, z = head.value.find(data, bounds)
+        # the ids of the tail follow those of the head, and each goes to the position of its word
+        lists = b.column(2)
+        size = pc.list_value_length(lists).fill_null(0).to_numpy()
+        flat = lists.flatten()
+        more, off = T.buffers(flat.field("ids"))
+        at = first[:-1][np.repeat(np.arange(len(size)), size)] + flat.field("pos").to_numpy()
+        a[at], z[at], found[at] = off[:-1] // 4 + len(head.value.ids), off[1:] // 4 + len(head.value.ids), True
+        if not found.all():
+            raise RuntimeError("a pre-token has no ids: the documents changed while they were read")
+        ids, off = gather(np.concatenate([head.value.ids, more.view("<u4")]), a, z)
+        return pa.RecordBatch.from_arrays([b.column(0), _binary(ids, off[first])], ["doc", "ids"])
+
+    tail = shared.arrow_map(rows.select("key", "t"), explode, "key long, pos int, word binary").repartition("word").sortWithinPartitions("word")
+    encoded = shared.batched(tail, encode_once, "key long, pos int, ids binary")
+    lists = encoded.groupBy("key").agg(F.collect_list(F.struct("pos", "ids")).alias("tail"))
+    packed = shared.arrow_map(rows.select("doc", "key", "t"), pack, f"doc {kind}, key long, body binary")
+    joined = packed.join(lists, "key", "left").select("doc", "body", "tail")
     return shared.arrow_map(joined, fill, f"doc {kind}, ids binary").withColumnRenamed("doc", doc_id)
 
 
@@ -273,8 +266,10 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     others = [c for c in encoded.columns if c != "decoded"]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.select(*others).schema)
 
+    table = encoded.sparkSession.sparkContext.broadcast(Table(path))
+
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        c = coder(path)
+        c = table.value
         flat, off = T.buffers(b.column(others.index(ids)))
         i = flat.view("<u4").astype(np.int64)
         data, bounds = gather(c.bytes, c.at[i], c.at[i + 1])

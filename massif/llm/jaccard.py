@@ -37,36 +37,32 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     source = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("t"))
     frequent = spark.sparkContext.broadcast(setjoin.frequent_hashes(source.select("t"), sets))
 
-    def tags(node: np.ndarray, doc: pa.Array) -> np.ndarray:
-        """A hash of a class and one of its documents."""
-        return T.mix(node ^ T.mix(doc.fill_null(-1).to_numpy().view(np.uint64) + T.U(7))).view(np.int64)
-
     def scan(b: pa.RecordBatch) -> pa.RecordBatch:
-        node, *rest = setjoin.describe(b.column(1), sets, frequent.value, percent)
-        return pa.RecordBatch.from_arrays([b.column(0), node, pa.array(tags(node.to_numpy().view(np.uint64), b.column(0))), *rest], ["doc", "node", "tag", "n", "prefix", "sig"])
+        return pa.RecordBatch.from_arrays([b.column(0), *setjoin.describe(b.column(1), sets, frequent.value, percent)], ["doc", "node", "n", "prefix", "sig"])
 
-    profiles = shared.stored(shared.arrow_map(source, scan, "doc long, node long, tag long, n long, prefix array<long>, sig binary"), "shingle-profiles")
+    profiles = shared.stored(shared.arrow_map(source, scan, "doc long, node long, n long, prefix array<long>, sig binary"), "shingle-profiles")
     frequent.destroy()
     # equal sets have equal prefixes and signatures, so any will do
-    whole = profiles.where("n > 0").groupBy("node").agg(F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"), F.any_value("sig").alias("sig"), F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "tag")).alias("m"))
-    classes = shared.stored(whole.select("node", "n", "prefix", "sig", F.col("m.doc").alias("doc"), F.col("m.tag").alias("tag")), "classes")
+    whole = profiles.where("n > 0").groupBy("node").agg(F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"), F.any_value("sig").alias("sig"), F.min("doc").alias("doc"))
+    classes = shared.stored(whole, "classes")
     rows = shared.stored(profiles.select("doc", "n", "node"), "shingle-counts")
     shared.drop(profiles)
 
     def loaded(wanted: DataFrame) -> DataFrame:
         """(node, hashes) of these nodes, computed again from the texts of their first documents; a Bloom filter of fixed size lets few others pass."""
-        reps = classes.select("node", "tag").join(wanted, "node", "left_semi")
-        bits = spark.sparkContext.broadcast(shared.Bits.build(reps, "tag"))
+        first = classes.select("node", F.coalesce("doc", F.lit(-1)).alias("doc")).join(wanted, "node", "left_semi")
+        bits = spark.sparkContext.broadcast(shared.Bits.build(first.select(F.xxhash64("doc").alias("h")), "h"))
         held.append(bits)
 
         def some(b: pa.RecordBatch) -> pa.RecordBatch | None:
-            h, offs = sets(b.column(1))
-            node = setjoin.node_of(h, offs)
-            at = np.flatnonzero(shared.Bits.test(bits.value, tags(node, b.column(0))) & (np.diff(offs) > 0))
-            flat = [h[offs[i] : offs[i + 1]].tobytes() for i in at]
-            return pa.RecordBatch.from_arrays([pa.array(node[at].view(np.int64)), pa.array(flat, pa.binary())], ["node", "hashes"])
-
-        found = shared.arrow_map(source, some, "node long, hashes binary")
+            at = np.flatnonzero(shared.Bits.test(bits.value, b.column(0).to_numpy()))
+            if not len(at):
+                return None
+            h, offs = sets(b.column(1).take(pa.array(at)))
+            flat = [h[a:z].tobytes() for a, z in zip(offs[:-1], offs[1:], strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(setjoin.node_of(h, offs).view(np.int64)), pa.array(flat, pa.binary())], ["node", "hashes"])
+
+        found = shared.arrow_map(source.select(F.xxhash64(F.coalesce("doc", F.lit(-1))).alias("h"), "t"), some, "node long, hashes binary")
         return found.join(wanted, "node", "left_semi").dropDuplicates(["node"])
 
     held: list = []

@@ -118,6 +118,9 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
 
     def banded(b: pa.RecordBatch) -> pa.RecordBatch:
         node, h, offs = distinct(b.column(0))
+        # a set of fewer than percent / (100 - percent) hashes is similar to itself alone
+        enough = np.flatnonzero((100 - percent) * np.diff(offs) >= percent)
+        node, (h, offs) = node[enough], _taken(h, offs, enough)
         keys = band_keys(h, offs, bands, rows)
         return pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(node, bands).view(np.int64)), pa.array(np.repeat(np.diff(offs), bands))], ["key", "node", "n"])
 
@@ -137,7 +140,7 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     sets = shared.arrow_map(source.select("t"), described, "node long, n long, sig binary, hashes binary", shared.BATCH)
     nodes = shared.stored(sets.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "paragraph-sets")
     bits.destroy()
-    labels = setjoin.joined(groups, nodes, lambda some: nodes.select("node", "hashes").join(some, "node", "left_semi"), percent)
+    labels = setjoin.joined(groups, nodes, lambda some: nodes.select("node", "hashes").join(some, "node", "left_semi"), percent, whole=True)
     shared.drop(nodes, wanted)
 
     of = labels.select(F.col("node").alias("_node"), F.col("label").alias("_label"))

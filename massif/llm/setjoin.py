@@ -35,7 +35,7 @@ from . import shared, sigtree
 from . import textkit as T
 
 #: Sets in a block of a large group; hashes kept as frequent at most (2**17 longs are broadcast); where a hash counts as frequent; rounds of the search, all but the last of likeliest partners.
-BLOCK, FREQUENT, FREQUENT_FROM, ROUNDS = 512, 1 << 17, 12, 2
+BLOCK, FREQUENT, FREQUENT_FROM, ROUNDS = 512, 1 << 17, 12, 3
 #: Bytes of text in which a hash has to occur twice to be counted.
 COUNTED = 8 << 20
 
@@ -52,7 +52,7 @@ def frequent_hashes(docs: DataFrame, sets: Callable) -> np.ndarray:
         return pa.RecordBatch.from_arrays([pa.array(u[n > 1].view(np.int64)), pa.array(n[n > 1])], ["h", "n"])
 
     sums = shared.arrow_map(docs, count, "h long, n long", COUNTED).groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT_FROM)
-    return np.sort(np.array([r["h"] for r in sums.orderBy(F.desc("n"), "h").limit(FREQUENT).collect()], np.int64).view(np.uint64))
+    return np.sort(np.array([r["h"] for r in shared.most_counted(sums, FREQUENT).select("h").collect()], np.int64).view(np.uint64))
 
 
 def node_of(h: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -67,7 +67,7 @@ def describe(column: pa.Array, sets: Callable, frequent: np.ndarray, percent: in
     n, rows = np.diff(offs), len(offs) - 1
     row = np.repeat(np.arange(rows), n)
     late = frequent[np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)] == h if len(frequent) else np.zeros(len(h), bool)
-    order = np.lexsort((h, late, row))
+    order = np.argsort(2 * row + late, kind="stable")  # hashes are in order within a row
     place = np.arange(len(h)) - np.repeat(offs[:-1], n)
     size = prefix_length(n, percent)
     kept = h[order][place < np.repeat(size, n)]
@@ -237,8 +237,13 @@ def blocks(rows: DataFrame) -> DataFrame:
     return shared.batched(spread, run, f"{fields}, block long")
 
 
-def rest_pairs(rows: DataFrame, nodes: DataFrame, percent: int, best: bool) -> DataFrame:
-    """Pairs (a, b) of sets with different labels that share a group of rows and that the signature trees leave over; best: of each set and group one alone."""
+def rest_pairs(rows: DataFrame, nodes: DataFrame, percent: int, best: bool, whole: bool = False) -> DataFrame:
+    """Pairs (a, b) of sets with different labels that share a group of rows and that the signature trees leave over.
+
+    best: of each set and group one alone.  whole: nodes have their hashes, which
+    are small; pairs are verified at once, and links that join the same sets are
+    given as a star, so that a group gives no more rows than it has.
+    """
     # the label with the most rows of a group meets the others only; a block is met by those whose sizes fit
     sides = rows.groupBy("key", "minor", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     o = sides.select("key", *[F.col(c).alias(f"o_{c}") for c in ("minor", "block", "lo", "hi")])
@@ -246,15 +251,23 @@ def rest_pairs(rows: DataFrame, nodes: DataFrame, percent: int, best: bool) -> D
     met = sides.join(o, "key").where(fits & (F.col("block") <= F.col("o_block"))).select("key", F.col("block").alias("x"), F.col("o_block").alias("y"))
     met = met.withColumn("task", F.xxhash64("key", "x", "y"))
     ends = met.select("task", F.col("x").alias("block")).unionByName(met.where("x <> y").select("task", F.col("y").alias("block")))
-    signed = rows.join(ends, "block").join(nodes.select("node", "sig"), "node")
-    spread = signed.select("task", "node", "n", "label", "sig").repartition("task").sortWithinPartitions("task")
+    held = nodes.select("node", F.col("hashes" if whole else "sig").alias("held"))
+    spread = rows.join(ends, "block").join(held, "node").select("task", "node", "n", "label", "held").repartition("task").sortWithinPartitions("task")
 
     def search(t: pa.RecordBatch) -> pa.RecordBatch | None:
         task, node, n, label = (t.column(c).to_numpy() for c in ("task", "node", "n", "label"))
         n = n.astype(np.int64)
         _, group = np.unique(task, return_inverse=True)
         _, lab = np.unique(label, return_inverse=True)
-        i, j, most = sigtree.candidates(group, n, lab, t.column("sig").to_pylist(), percent)
+        if whole:
+            flat, offs = T.buffers(t.column("held"))
+            h, offs = flat.view(np.uint64), offs // 8
+            i, j, most = sigtree.candidates(group, n, lab, sigtree.signatures(h, offs), percent)
+            for k in range(0, len(i), 1 << 14):
+                i[k : k + (1 << 14)], j[k : k + (1 << 14)] = _same(h, offs, i[k : k + (1 << 14)], j[k : k + (1 << 14)], percent)
+            i, j = star(len(n), i, j)
+        else:
+            i, j, most = sigtree.candidates(group, n, lab, t.column("held").to_pylist(), percent)
         if best and len(i):
             both, other, like = np.concatenate([i, j]), np.concatenate([j, i]), np.tile(most / (n[i] + n[j]), 2)
             order = np.lexsort((node[other], -like, both))
@@ -266,10 +279,10 @@ def rest_pairs(rows: DataFrame, nodes: DataFrame, percent: int, best: bool) -> D
         ab = np.unique(np.stack([a, b], axis=1), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(ab[:, 0].copy()), pa.array(ab[:, 1].copy())], ["a", "b"])
 
-    def run(batches):
+    def found(batches):
         held = None
-        for whole in batches:
-            for b in shared.pieces(whole):
+        for many in batches:
+            for b in shared.pieces(many):
                 t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
                 task = t.column("task").to_numpy()
                 cut = int(np.searchsorted(task, task[-1]))  # the last task may go on in the next batch
@@ -279,9 +292,52 @@ def rest_pairs(rows: DataFrame, nodes: DataFrame, percent: int, best: bool) -> D
         if held is not None and (out := search(held.combine_chunks())) is not None:
             yield out
 
+    def run(batches):
+        kept = []
+        for out in found(batches):  # a pair that several groups give goes once
+            kept.append(out)
+            if sum(x.num_rows for x in kept) > 1 << 16:
+                kept = [once(kept)]
+                if kept[0].num_rows > 1 << 15:
+                    yield kept.pop()
+        if kept:
+            yield once(kept)
+
+    def once(kept: list[pa.RecordBatch]) -> pa.RecordBatch:
+        ab = np.unique(np.concatenate([np.stack([x.column(k).to_numpy() for k in (0, 1)], axis=1) for x in kept]), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(ab[:, 0].copy()), pa.array(ab[:, 1].copy())], ["a", "b"])
+
     return shared.batched(spread, run, "a long, b long")
 
 
+def _same(h: np.ndarray, offs: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of these sets that are similar; a pair that is not is given as i with itself."""
+    n = np.diff(offs)
+    pair = np.arange(len(i))
+    of = np.concatenate([np.repeat(pair, n[i]), np.repeat(pair, n[j])])
+    at = np.concatenate([i, j])
+    bounds = np.cumsum(n[at]) - n[at]
+    x = h[np.repeat(offs[:-1][at] - bounds, n[at]) + np.arange(len(of))]
+    order = np.lexsort((x, of))
+    x, of = x[order], of[order]
+    both = np.bincount(of[1:][(x[1:] == x[:-1]) & (of[1:] == of[:-1])], minlength=len(i))
+    return i, np.where(100 * both >= percent * (n[i] + n[j] - both), j, i)
+
+
+def star(n: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each of n places and the least that links reach from it, without those that reach none below."""
+    least = np.arange(n)
+    while True:
+        last = least.copy()
+        np.minimum.at(least, i, last[j])
+        np.minimum.at(least, j, last[i])
+        least = least[least]
+        if (least == last).all():
+            break
+    at = np.flatnonzero(least != np.arange(n))
+    return at, least[at]
+
+
 def similar_components(nodes: DataFrame, load: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     """(node, label) of the sets that are similar to another: label is the least node of the component.
 
@@ -290,16 +346,19 @@ def similar_components(nodes: DataFrame, load: Callable[[DataFrame], DataFrame],
     return joined(grouped(nodes, percent), nodes, load, percent)
 
 
-def joined(groups: DataFrame, nodes: DataFrame, load: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
-    """similar_components, from groups as grouped gives them."""
+def joined(groups: DataFrame, nodes: DataFrame, load: Callable[[DataFrame], DataFrame], percent: int, whole: bool = False) -> DataFrame:
+    """similar_components, from groups as grouped gives them; whole: nodes have their hashes, as those are small."""
     links = verified(first_pairs(groups, percent), nodes, load, percent)
     labels = components(links)
     every, groups = groups, distinct_groups(groups)
     shared.drop(every)
-    for k in range(ROUNDS):
-        best = k < ROUNDS - 1
+    for k in range(1 if whole else ROUNDS):
+        best = not whole and k < ROUNDS - 1
         rows = mixed_groups(groups, labels)
-        more = verified(_fewest(rest_pairs(rows, nodes, percent, best), best), nodes, load, percent)
+        if whole:
+            more = shared.stored(rest_pairs(rows, nodes, percent, False, True), "links")
+        else:
+            more = verified(_fewest(rest_pairs(rows, nodes, percent, best), best), nodes, load, percent)
         shared.drop(rows)
         if not more.isEmpty():
             links = links.unionByName(more)

@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from ..functions.storage import drop, new_folder, shared_folder, stored
 
-__all__ = ["Bits", "arrow_map", "documents", "drop", "new_folder", "pieces", "shared_folder", "small", "stored", "table"]
+__all__ = ["Bits", "arrow_map", "documents", "drop", "most_counted", "new_folder", "pieces", "shared_folder", "small", "stored", "table"]
 
 #: Bytes that are broadcast at most.
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 8 << 20
 
 
 def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
@@ -38,6 +38,18 @@ def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if total <= limit else df
 
 
+def most_counted(counts: DataFrame, most: int, n: str = "n") -> DataFrame:
+    """The rows of counts with the highest n, at most so many: a histogram of n (8 bins for each power of two) tells where to cut, so nothing is sorted."""
+    counts = stored(counts, "counts")
+    grade = F.floor(F.log2(n) * 8).cast("int")
+    room, least = most, None
+    for r in sorted(counts.groupBy(grade.alias("g")).agg(F.count("*").alias("c")).collect(), reverse=True):
+        if r["c"] > room:
+            break
+        room, least = room - r["c"], r["g"]
+    return counts.where(F.lit(False) if least is None else grade >= least)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -15,12 +15,12 @@ import numpy as np
 import pyarrow as pa
 
 FANOUT = 8
-#: Widths in bits; a set gets the first that is at least twice its size, the last at most.
+#: Widths in bits; a set gets the first that is at least four times its size, the last at most: then few hashes hide.
 WIDTHS = (128, 512, 2048, 8192, 32768)
 
 
 def width_class(n: np.ndarray) -> np.ndarray:
-    return np.minimum(np.searchsorted(np.array(WIDTHS), 2 * n), len(WIDTHS) - 1)
+    return np.minimum(np.searchsorted(np.array(WIDTHS), 4 * n), len(WIDTHS) - 1)
 
 
 def signatures(hashes: np.ndarray, offs: np.ndarray) -> list[bytes]:

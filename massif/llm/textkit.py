@@ -205,8 +205,15 @@ def shingle_sets(w: Words, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
         short = np.flatnonzero(w.n == m)
         if len(short):
             g, row = np.concatenate([g, grams(w.hash, m)[w.first[short]]]), np.concatenate([row, short])
-    order = np.lexsort((g, row))
-    g, row = g[order], row[order]
+    if len(g) > 64 * rows:  # long rows are sorted one by one, as that is faster
+        order = np.argsort(row, kind="stable")
+        g, row = g[order], row[order]
+        bounds = np.searchsorted(row, np.arange(rows + 1)).tolist()
+        for a, z in zip(bounds[:-1], bounds[1:], strict=True):
+            g[a:z].sort()
+    else:
+        order = np.lexsort((g, row))
+        g, row = g[order], row[order]
     if len(g):
         new = np.ones(len(g), bool)
         new[1:] = (g[1:] != g[:-1]) | (row[1:] != row[:-1])
