@@ -45,20 +45,21 @@ def _hits(w: T.Words, span: int, k: int, lengths: list[int], bits: np.ndarray |
     """(row, gram length, hash, place in the row, words before, gram, words after) of each fingerprint."""
     out = []
     row = w.row()
-    for size, kept in [(k, fingerprints(w, span, k))] + [(n, T.gram_places(w.n, w.first, n)) for n in lengths]:
+    # size 0 in the result: a gram of k words that winnowing has kept; else a whole item of so many words, k among them
+    for name, size, kept in [(0, k, fingerprints(w, span, k))] + [(n, n, T.gram_places(w.n, w.first, n)) for n in lengths]:
         h = T.grams(w.hash, size)[kept] if len(kept) else np.zeros(0, np.uint64)
-        h = T.mix(h + np.uint64(size if size != k else 0))
+        h = T.mix(h + np.uint64(name))
         if bits is not None and len(h):
             ok = shared.Bits.test(bits, h)
             h, kept = h[ok], kept[ok]
-        reach = span - size if size == k else 0
+        reach = 0 if name else span - size
         for x, p in zip(h.view(np.int64).tolist(), kept.tolist(), strict=True):
             r = int(row[p])
             a, b = int(w.first[r]), int(w.first[r + 1])
             lo, hi = max(a, p - reach), min(b, p + size + reach)
             before = w.text(lo, p).split(" ")[::-1] if lo < p else []
             after = w.text(p + size, hi).split(" ") if p + size < hi else []
-            out.append((r, size if size != k else 0, x, p - a, before, w.text(p, p + size), after))
+            out.append((r, name, x, p - a, before, w.text(p, p + size), after))
     return out
 
 
@@ -133,7 +134,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 
     found = shared.arrow_map(docs.select(doc_id, text), scan, f"doc {kind}, whole long, n_words long, {HIT}")
     i = index.select("size", "fp", F.col("item"), F.col("before").alias("i_before"), F.col("gram").alias("i_gram"), F.col("after").alias("i_after"))
-    i = shared.small(i, 400)
+    i = shared.small(i)
     left, right = _reach("before", "i_before"), _reach("after", "i_after")
     width = F.when(F.col("size") == 0, F.lit(k)).otherwise(F.col("size"))
     joined = (

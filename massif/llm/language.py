@@ -10,8 +10,6 @@ document's language is that with the greatest sum of them.
 
 from __future__ import annotations
 
-import unicodedata
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -21,13 +19,14 @@ from pyspark.sql import functions as F
 from . import shared
 from . import textkit as T
 
-#: Labelled rows of each language that the model is fitted on, words taken from each, and size of the hashed table.
-SAMPLE_ROWS, SAMPLE_WORDS, LOG2 = 400, 200, 16
+#: The bound of what the model is fitted on: whole texts of so many labelled rows of each language, and of so many languages, the most frequent; and the size of the hashed table.
+SAMPLE_ROWS, MOST_LANGS, LOG2 = 200, 256, 16
 UNKNOWN = "und"
 
 
 def words_of(text: pa.Array) -> T.Words:
-    return T.Words(pc.utf8_lower(text.fill_null("") if text.null_count else text), "letters", lower=False)
+    """The words in lower case, with characters composed (NFC), alike in training and prediction."""
+    return T.Words(pc.utf8_lower(pc.utf8_normalize(text.fill_null("") if text.null_count else text, form="NFC")), "letters", lower=False)
 
 
 def features(w: T.Words, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -111,19 +110,19 @@ def fit(rows: list[tuple[str, str]], seed: int = 7, length: int = 40, epochs: in
     if not langs:
         return m
     r = np.random.default_rng(seed)
-    texts = [" ".join(unicodedata.normalize("NFC", t).split()[:SAMPLE_WORDS]) for t, _ in rows]
-    w = words_of(pa.array(texts, pa.string()))
+    w = words_of(pa.array([t for t, _ in rows], pa.large_string()))
     if not len(w.start):
         return m
-    f, bounds = features(w, np.arange(len(w.start)))
+    _, where, known = np.unique(w.hash, return_index=True, return_inverse=True)
+    f, bounds = features(w, where)  # of each distinct word once
     label = np.repeat([langs.index(lang) for _, lang in rows], w.n)
     # pieces of 5 to 30 words of one text, in random order: neighbours within a sequence often differ in language
-    pieces, at = [], 0
-    while at < len(label):
-        same = int(np.searchsorted(w.first, at, side="right"))
-        stop = min(at + int(r.integers(5, 31)), int(w.first[same]) if same < len(w.first) else len(label))
-        pieces.append(np.arange(at, stop))
-        at = stop
+    pieces, begin = [], 0
+    while begin < len(label):
+        same = int(np.searchsorted(w.first, begin, side="right"))
+        stop = min(begin + int(r.integers(5, 31)), int(w.first[same]) if same < len(w.first) else len(label))
+        pieces.append(np.arange(begin, stop))
+        begin = stop
     n_langs = len(langs)
     gw, gt = np.full(m.weights.shape, 1e-6, np.float32), np.full(m.trans.shape, 1e-6, np.float32)
     for _ in range(epochs):
@@ -133,9 +132,10 @@ def fit(rows: list[tuple[str, str]], seed: int = 7, length: int = 40, epochs: in
             part = line[start : start + 64 * length]
             n = np.full(-(-len(part) // length), length)
             n[-1] = len(part) - length * (len(n) - 1)
-            size = bounds[part + 1] - bounds[part]
+            at = bounds[known[part]]
+            size = bounds[known[part] + 1] - at
             b = np.concatenate([[0], np.cumsum(size)])
-            ff = f[np.repeat(bounds[part] - b[:-1], size) + np.arange(b[-1])]
+            ff = f[np.repeat(at - b[:-1], size) + np.arange(b[-1])]
             s = m.scores(ff, b)
             y = label[part]
             p = m.marginals(s, n, forward := [])
@@ -173,32 +173,30 @@ def label_words(m: Model, text: pa.Array) -> tuple[T.Words, np.ndarray]:
 
 
 def sample(docs: DataFrame, text: str, lang: str, key, rows: int) -> list[tuple[str, str]]:
-    """At most so many labelled rows of each language, the least by a hash of the key.
+    """At most so many labelled rows of each language, the least by a hash of key and text; rows that are equal in both count once.
 
     A histogram of the hashes (16 bins for each power of two) tells where to cut, so that
     only about so many rows of each language are ever sorted or sent.
     """
-    grade = F.floor(F.log2(F.shiftrightunsigned(F.xxhash64(key), 2) + 1.0) * 16).cast("int")
-    one = docs.where(F.col(lang).isNotNull()).select(F.col(text).alias("t"), F.col(lang).alias("lang"), F.xxhash64(key).alias("h"), grade.alias("grade")).where(F.col("t").isNotNull())
+    h = F.shiftrightunsigned(F.xxhash64(key, text), 2)
+    one = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("t"), F.col(lang).alias("lang"), h.alias("h"), F.floor(F.log2(h + 1.0) * 16).cast("int").alias("grade"))
     counts: dict[str, list[tuple[int, int]]] = {}
-    for r in one.groupBy("lang", "grade").count().collect():
+    for r in one.select("lang", "grade", "h").distinct().groupBy("lang", "grade").count().collect():
         counts.setdefault(r["lang"], []).append((r["grade"], r["count"]))
-    cuts = []
-    for name, bins in sorted(counts.items()):
+    most = sorted(counts, key=lambda name: (-sum(c for _, c in counts[name]), name))[:MOST_LANGS]
+    cuts = {}
+    for name in most:
         n = 0
-        for g, c in sorted(bins):
+        for g, c in sorted(counts[name]):
             n += c
             if n >= rows:
                 break
-        cuts.append((name, g))
-    if not cuts:
-        return []
+        cuts.setdefault(g, []).append(name)
     wanted = F.lit(False)
-    for name, g in cuts:
-        wanted = wanted | ((F.col("lang") == name) & (F.col("grade") <= g))
-    cut = F.array_join(F.slice(F.split(F.trim(F.col("t")), r"\s+", SAMPLE_WORDS + 1), 1, SAMPLE_WORDS), " ")
+    for g, names in cuts.items():
+        wanted = wanted | (F.col("lang").isin(names) & (F.col("grade") <= g))
     taken: dict[str, list[tuple[int, str]]] = {}
-    for r in one.where(wanted).select("lang", F.shiftrightunsigned("h", 2).alias("h"), cut.alias("t")).collect():
+    for r in one.where(wanted).dropDuplicates(["lang", "h"]).select("lang", "h", "t").collect():
         taken.setdefault(r["lang"], []).append((r["h"], r["t"]))
     return [(t, name) for name in sorted(taken) for _, t in sorted(taken[name])[:rows]]
 
@@ -236,7 +234,7 @@ def fold(doc_id: str = "doc_id"):
 
 
 def trained(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = SAMPLE_ROWS) -> Model:
-    """A model of the labelled rows that are not held out (a null doc_id is)."""
+    """A model of the labelled rows that are not held out; a row without a doc_id is held out."""
     return fit(sample(docs.where(fold(doc_id) != 2), text, lang, F.col(doc_id), rows))
 
 
@@ -244,4 +242,4 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from the labelled rows outside the held-out fold."""
     docs = shared.documents(spark, sf_dir)
     out = identify(docs, trained(docs))
-    return out.select("doc_id", F.coalesce(fold() == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+    return out.select("doc_id", F.coalesce(fold() == 2, F.lit(True)).alias("held_out"), "lang_pred", "score")

@@ -106,8 +106,8 @@ def term_spans(docs: DataFrame, text: str, terms: DataFrame) -> DataFrame | None
     if terms.isEmpty():
         return None
     texts = docs.select(F.coalesce(text, F.lit("")).alias("t")).select(F.sha2(F.col("t").cast("binary"), 256).alias("whole"), "t")
-    held = texts.select("whole", F.explode(terms_of(F.col("t"))).alias("term")).join(shared.small(terms, 60), "term").groupBy("whole").agg(F.array_sort(F.collect_set("term")).alias("terms"))
-    held = shared.small(shared.stored(held, "texts-with-terms"), 400)
+    held = texts.select("whole", F.explode(terms_of(F.col("t"))).alias("term")).join(shared.small(terms), "term").groupBy("whole").agg(F.array_sort(F.collect_set("term")).alias("terms"))
+    held = shared.small(shared.stored(held, "texts-with-terms"))
     pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join("terms", "|"), F.lit(r")(?![\p{L}\p{N}])"))
     return texts.join(held, "whole").select("whole", spans.matches(F.col("t"), pattern, "term", len(KINDS)).alias("term_spans")).dropDuplicates(["whole"])
 

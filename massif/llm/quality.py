@@ -1,9 +1,9 @@
 """Quality rules with cross-document line frequency.
 
 Lines are normalised (lower case, digits to 0, single spaces) and hashed; for
-each host the distinct documents with a line are counted (equal texts count
-once, for exact copies are deduplication's task); lines above the limits are
-removed, and a document that loses too much is rejected.
+each host the distinct documents with a line are counted; lines above the limits
+are removed, and a document that loses too much is rejected.  Copies are documents
+too: deduplication, not this operator, keeps one of them.
 """
 
 from __future__ import annotations
@@ -91,8 +91,9 @@ def profile(text: pa.Array) -> dict[str, pa.Array]:
 def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE, most_removed: float = MOST_REMOVED) -> DataFrame:
     """One row per row of docs: doc_id, the base counts, n_removed_words, base_failed and kept.
 
-    A line goes when at least min_docs distinct texts of its host, and at least
-    min_share of the host's distinct texts, have it.  A document is rejected if
+    A line goes when at least min_docs distinct documents of its host, and at
+    least min_share of the host's documents, have it; documents are told apart by
+    doc_id, those without one by their text.  A document is rejected if
     it fails the base rules, or if over most_removed of its words go, or fewer
     than MIN_WORDS remain.  Null and empty texts have no words and fail; null
     hosts form a host of their own.
@@ -106,10 +107,11 @@ def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", h
     fields = "whole long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<struct<h: long, w: long>>"
     found = shared.stored(shared.arrow_map(docs.select(doc_id, F.col(host).cast("string"), text), scan, f"doc {kind}, host string, {fields}"), "line-profiles")
     found = found.withColumn("host", F.coalesce(F.concat(F.lit("h"), F.col("host")), F.lit("null")))
-    hosts = found.select("host", "whole").distinct().groupBy("host").agg(F.count("*").alias("docs"))
-    each = found.select("host", "whole", F.explode("lines.h").alias("h")).distinct().groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)
+    own = F.xxhash64(F.col("doc").cast("string"), F.when(F.col("doc").isNull(), F.col("whole"))).alias("own")
+    hosts = found.select("host", own).distinct().groupBy("host").agg(F.count("*").alias("docs"))
+    each = found.select("host", own, F.explode("lines.h").alias("h")).distinct().groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)
     over = each.join(hosts, "host").where(F.col("n") >= F.col("docs") * min_share).select("host", "h")
-    over = shared.small(shared.stored(over, "frequent-lines"), 60)
+    over = shared.small(shared.stored(over, "frequent-lines"))
     lost = (
         found.select("doc", "whole", "host", F.explode("lines").alias("x"))
         .select("doc", "whole", "host", F.col("x.h").alias("h"), F.col("x.w").alias("w"))

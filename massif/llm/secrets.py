@@ -25,21 +25,25 @@ PATTERNS = {
 }
 BEFORE_VALUE = r"""^[A-Za-z_]+["']?\x20*[:=]\x20*["']?"""
 NEEDS = {"assign": r"[:=]", "access": "AKIA", "hex": "[0-9a-f]{32}"}
+#: Characters of a candidate string at least, and of the window: in fewer characters chance alone makes few repeats.
+LEAST = 20
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}+"
-#: Character classes in the order in which they are tried: (name, shape, alphabet, window, least bits).
+#: Character classes in the order in which they are tried: (name, shape, alphabet, least bits of a window).
 CLASSES = (
-    ("hex", r"^[0-9a-fA-F]+$", "0123456789abcdef", 24, 3.0),
-    ("alnum", r"^[0-9a-z]+$", "0123456789abcdefghijklmnopqrstuvwxyz", 20, 3.4),
-    ("base64", r"^[A-Za-z0-9+/_=-]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 20, 3.7),
+    ("hex", r"^[0-9a-fA-F]+$", "0123456789abcdef", 3.0),
+    ("alnum", r"^[0-9a-z]+$", "0123456789abcdefghijklmnopqrstuvwxyz", 3.4),
+    ("base64", r"^[A-Za-z0-9+/_=-]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 3.7),
 )
-#: Harmless: UUIDs, placeholders, runs of one character, sequences, words joined by - or _ or /.
+#: A string of letters or of digits alone is a word or a number, however even; such parts are not scored.
+MIXED = ("[0-9]", "[A-Za-z]")
+#: Harmless candidates as a whole: UUIDs, and words joined by - or _ or / with short numbers at the end.
 ALLOWED = (
     r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
-    r"(?i)example|sample|dummy|placeholder|changeme|xxxx|your[_-]",
-    r"(.)\1{7,}",
-    r"(?i)abcdefghij|0123456789|1234567890",
-    r"^[A-Za-z]*(?:[/_=-]+[A-Za-z]*)+(?:[/_=-]+[0-9]{1,8})*$",
+    r"^[A-Za-z]*+(?:[/_=-]++[A-Za-z]*+)++(?:[0-9]{1,8}+(?:[/_=-]++[0-9]{1,8}+)*+)?+$",
 )
+#: Harmless parts of a candidate: placeholders and sequences with up to 32 characters on either side that no separator cuts off, and runs of one character.
+#: What is left on either side of a part is scored on its own, so a part never hides what is far from it.
+ALLOWED_PART = r"(?i)[^/_=-]{0,32}(?:example|sample|dummy|placeholder|changeme|xxxx|your[_-]|abcdefghij|0123456789|1234567890)[^/_=-]{0,32}|(.)\1{7,}+"
 
 
 def _assign(v: Column) -> Column:
@@ -59,43 +63,54 @@ def window_entropy(v: Column, alphabet: str, window: int) -> Column:
 
     counts holds how often each character of the alphabet is in the window, and
     s the sum of c log2 c over them; the entropy is log2(window) - s / window.
+    The string is split into characters once, so the work is linear in its length.
     """
     gain = F.array(*[F.lit((c + 1) * math.log2(c + 1) - (c * math.log2(c) if c else 0.0)) for c in range(window + 1)])
-    place = lambda i: F.instr(F.lit(alphabet), F.substring(v, i, F.lit(1)))
     at = lambda a, i: F.element_at(a, i)
 
-    def step(acc: Column, i: Column) -> Column:
-        enters = place(i)
-        leaves = F.when(i > window, place(i - window)).otherwise(0)
+    def over(places: Column) -> Column:
+        def step(acc: Column, i: Column) -> Column:
+            enters = at(places, i)
+            leaves = F.when(i > window, at(places, F.greatest(i - window, F.lit(1)))).otherwise(0)
 
-        def moved(p: Column) -> Column:
-            # leave first, so that no count passes the window
-            less = F.when(p["o"] > 0, F.transform(acc["counts"], lambda c, j: c - F.when(j == p["o"] - 1, 1).otherwise(0))).otherwise(acc["counts"])
-            s = acc["s"] - F.when(p["o"] > 0, at(gain, F.when(p["o"] > 0, at(acc["counts"], F.greatest(p["o"], F.lit(1)))).otherwise(1))).otherwise(0.0)
+            def moved(p: Column) -> Column:
+                # leave first, so that no count passes the window
+                less = F.when(p["o"] > 0, F.transform(acc["counts"], lambda c, j: c - F.when(j == p["o"] - 1, 1).otherwise(0))).otherwise(acc["counts"])
+                s = acc["s"] - F.when(p["o"] > 0, at(gain, F.when(p["o"] > 0, at(acc["counts"], F.greatest(p["o"], F.lit(1)))).otherwise(1))).otherwise(0.0)
 
-            def entered(q: Column) -> Column:
-                total = q["s"] + at(gain, at(q["less"], p["i"]) + 1)
-                counts = F.transform(q["less"], lambda c, j: c + F.when(j == p["i"] - 1, 1).otherwise(0))
-                return F.struct(counts.alias("counts"), total.alias("s"), F.when(i >= window, F.greatest(acc["best"], F.lit(math.log2(window)) - total / window)).otherwise(acc["best"]).alias("best"))
+                def entered(q: Column) -> Column:
+                    total = q["s"] + at(gain, at(q["less"], p["i"]) + 1)
+                    counts = F.transform(q["less"], lambda c, j: c + F.when(j == p["i"] - 1, 1).otherwise(0))
+                    return F.struct(counts.alias("counts"), total.alias("s"), F.when(i >= window, F.greatest(acc["best"], F.lit(math.log2(window)) - total / window)).otherwise(acc["best"]).alias("best"))
 
-            return spans.let(F.struct(less.alias("less"), s.alias("s")), entered)
+                return spans.let(F.struct(less.alias("less"), s.alias("s")), entered)
 
-        return spans.let(F.struct(enters.alias("i"), leaves.alias("o")), moved)
+            return spans.let(F.struct(enters.alias("i"), leaves.alias("o")), moved)
 
-    start = F.struct(F.array_repeat(F.lit(0), len(alphabet)).alias("counts"), F.lit(0.0).alias("s"), F.lit(0.0).alias("best"))
-    return F.when(F.length(v) >= window, F.aggregate(F.sequence(F.lit(1), F.length(v)), start, step, lambda acc: acc["best"])).otherwise(0.0)
+        start = F.struct(F.array_repeat(F.lit(0), len(alphabet)).alias("counts"), F.lit(0.0).alias("s"), F.lit(0.0).alias("best"))
+        return F.aggregate(F.sequence(F.lit(1), F.size(places)), start, step, lambda acc: acc["best"])
+
+    places = F.transform(F.split(v, ""), lambda c: F.instr(F.lit(alphabet), c))
+    return F.when(F.length(v) >= window, spans.let(places, over)).otherwise(0.0)
 
 
 def too_even(v: Column) -> Column:
-    """Whether a candidate string has a window above its class's threshold, and no harmless shape."""
-    mixed = v.rlike("[0-9]") & v.rlike("[A-Za-z]")
-    for shape in ALLOWED:
-        mixed = mixed & ~v.rlike(shape)
-    by_class = None
-    for name, shape, alphabet, window, bits in CLASSES:
-        over = window_entropy(F.lower(v) if name == "hex" else v, alphabet, window) >= bits
-        by_class = F.when(v.rlike(shape), over) if by_class is None else by_class.when(v.rlike(shape), over)
-    return F.when(mixed, by_class.otherwise(False)).otherwise(False)
+    """Whether a candidate string has a part with a window above its class's threshold, and no harmless shape."""
+
+    def part(x: Column) -> Column:
+        by_class = None
+        for name, shape, alphabet, bits in CLASSES:
+            over = window_entropy(F.lower(x) if name == "hex" else x, alphabet, LEAST) >= bits
+            by_class = F.when(x.rlike(shape), over) if by_class is None else by_class.when(x.rlike(shape), over)
+        mixed = F.length(x) >= LEAST
+        for m in MIXED:
+            mixed = mixed & x.rlike(m)
+        return F.when(mixed, by_class.otherwise(False)).otherwise(False)
+
+    harmless = v.rlike(ALLOWED[0])
+    for shape in ALLOWED[1:]:
+        harmless = harmless | v.rlike(shape)
+    return F.when(harmless, False).otherwise(F.exists(F.split(F.regexp_replace(v, ALLOWED_PART, " "), " "), part))
 
 
 def all_spans(text: Column) -> Column:
@@ -110,7 +125,10 @@ def all_spans(text: Column) -> Column:
 
 
 def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, base, spans) for every row of docs; null and empty texts have none, repeated rows are found each."""
+    """(doc_id, base, spans) for every row of docs; null and empty texts have none, repeated rows are found each.
+
+    Spans are in order of start, then kind; an entropy span that a base span touches is left out.  Other columns are ignored.
+    """
     found = docs.select(F.col(doc_id), all_spans(F.coalesce(text, F.lit(""))).alias("_found"))
     return found.select(doc_id, "_found.base", "_found.spans")
 

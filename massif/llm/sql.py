@@ -30,8 +30,8 @@ dups AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM worded GROUP BY d
 win AS (SELECT doc_id, p, array_to_string(w[p : p + 4], ' ') AS g FROM d, unnest(range(1, len(w) - 3)) AS x(p) WHERE len(w) >= 5),
 rep AS (SELECT doc_id, p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM win) WHERE c > 1),
 reps AS (SELECT doc_id, count(DISTINCT q) AS n FROM rep, unnest(range(p, p + 5)) AS x(q) GROUP BY doc_id),
-hosts AS (SELECT host, count(DISTINCT t) AS docs FROM d GROUP BY host),
-over AS (SELECT host, k FROM (SELECT host, k, count(DISTINCT t) AS n FROM worded GROUP BY host, k) JOIN hosts USING (host) WHERE n >= 10 AND n >= docs * 0.01),
+hosts AS (SELECT host, count(DISTINCT doc_id) AS docs FROM d GROUP BY host),
+over AS (SELECT host, k FROM (SELECT host, k, count(DISTINCT doc_id) AS n FROM worded GROUP BY host, k) JOIN hosts USING (host) WHERE n >= 10 AND n >= docs * 0.01),
 lost AS (SELECT doc_id, sum(len(lw)) AS n FROM worded JOIN over USING (host, k) GROUP BY doc_id),
 o AS (SELECT d.doc_id, len(w) AS n_words, coalesce(length(array_to_string(w, '')), 0) AS word_chars,
       CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,

@@ -25,6 +25,8 @@ from . import shared
 SKIPPABLE, FRAME, DICTIONARY = 0x184D2A5D, 0xFD2FB528, 0xEC30A437
 #: Payloads below this are never revisits; an archive rolls over at this size; records the dictionary is trained on.
 LEAST_REVISIT, ARCHIVE_BYTES, TRAINED_ON, DICTIONARY_BYTES = 100, 64 << 20, 200, 16 << 10
+#: Parts into which the pages of one digest are dealt.
+SALTS = 16
 DATE = "2024-01-01T00:00:00Z"
 HTTP_RESPONSE = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 
@@ -154,11 +156,22 @@ def read_archive(source) -> Iterator[bytes]:
         yield b"".join(out)
 
 
+def digest_of(html: str):
+    """SHA-256 of a payload that is long enough to be revisited, else null."""
+    t = F.coalesce(html, F.lit(""))
+    return F.when(F.octet_length(t) >= LEAST_REVISIT, F.sha2(t.cast("binary"), 256))
+
+
 def first_of_equals(pages: DataFrame, page_id: str, html: str) -> DataFrame:
-    """(page, refers_to) of the pages that revisit an equal payload, without their payloads."""
-    digests = pages.select(F.col(page_id).alias("page"), F.coalesce(html, F.lit("")).alias("t")).where(F.octet_length("t") >= LEAST_REVISIT).where(F.col("page").isNotNull()).select("page", F.sha2(F.col("t").cast("binary"), 256).alias("digest"))
+    """(page, digest, refers_to) of the pages that revisit an equal payload, without their payloads.
+
+    The pages of one digest, which may be many, are salted for the join.
+    """
+    digests = pages.where(F.col(page_id).isNotNull()).select(F.col(page_id).alias("page"), digest_of(html).alias("digest")).where(F.col("digest").isNotNull())
     least = digests.groupBy("digest").agg(F.min("page").alias("refers_to"), F.max("page").alias("most")).where(F.col("refers_to") != F.col("most")).drop("most")
-    return digests.join(least, "digest").where(F.col("page") != F.col("refers_to")).select("page", "refers_to").distinct()
+    least = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = digests.distinct().withColumn("salt", F.pmod(F.xxhash64("page"), F.lit(SALTS)).cast("int"))
+    return salted.join(least, ["digest", "salt"]).where(F.col("page") != F.col("refers_to")).select("page", "digest", "refers_to")
 
 
 def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", html: str = "html", archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
@@ -168,7 +181,9 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
     attempt that succeeds are in the manifest.
     """
     revisits = first_of_equals(pages, page_id, html)
-    rows = pages.select(F.col(page_id).alias("page"), F.col(url).alias("url"), F.col(html).alias("html")).join(revisits, "page", "left")
+    rows = pages.select(F.col(page_id).alias("page"), F.col(url).alias("url"), F.col(html).alias("html"), digest_of(html).alias("digest"))
+    # by page and payload: pages that repeat an id with other payloads are records of their own
+    rows = rows.join(revisits, ["page", "digest"], "left").select("page", "url", "html", "refers_to")
 
     def put(batches):
         fs, base = pafs.FileSystem.from_uri(folder)
@@ -202,7 +217,7 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
         if done:
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in done]), pa.array([x[1] for x in done], pa.int64())], ["path", "records"])
 
-    return shared.stored(rows.mapInArrow(put, "path string, records long"), "warc-manifest")
+    return shared.stored(shared.batched(rows, put, "path string, records long"), "warc-manifest")
 
 
 def _open(state: dict, fs, base: str, waiting: list[bytes]) -> None:
@@ -244,7 +259,7 @@ def read_archives(manifest: DataFrame, folder: str, with_payload: bool = False)
                 if rows:
                     yield _rows(rows, with_payload)
 
-    return manifest.repartition(parts).mapInArrow(get, schema)
+    return shared.batched(manifest.repartition(parts), get, schema)
 
 
 def _rows(rows: list[tuple], with_payload: bool) -> pa.RecordBatch:

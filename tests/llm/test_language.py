@@ -1,4 +1,5 @@
 import itertools
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -48,3 +49,23 @@ def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = L.identify(docs.where("length(text) > 100"), L.trained(docs), keep=["lang"]).where(L.fold() == 2).toPandas()
     assert len(out) > 100 and (out.lang == out.lang_pred).mean() > 0.97
+
+
+def test_decomposed_text_is_read_as_composed():
+    m = L.fit([(EN, "en"), (DE, "de")] * 20)
+    text = "über die straße hört es jäh auf für könige"
+    both = [L.label_words(m, pa.array([unicodedata.normalize(form, text)]))[1] for form in ("NFC", "NFD")]
+    np.testing.assert_array_equal(*both)
+
+
+def test_the_sample_is_bounded_whatever_the_ids(spark):
+    rows = [(1, f"{EN} number {i}", "en") for i in range(300)] + [(1, DE, "de")] * 300 + [(None, EN, "en")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = L.sample(d, "text", "lang", d.doc_id, 20)
+    assert sum(x == "en" for _, x in got) == 20 and sum(x == "de" for _, x in got) == 1
+
+
+def test_rows_without_an_id_are_held_out(spark, tmp_path):
+    rows = [(None, EN, "en"), (1, EN, "en"), (2, DE, "de")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {x.doc_id: x.held_out for x in L.op3_language(spark, str(tmp_path)).collect()}[None]

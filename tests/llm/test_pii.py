@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -90,3 +91,56 @@ def test_overlapping_spans_are_cut_once(spark):
     text = "call +4111 1111 1111 1111 now 1.2.3.4, a@b.c_d@e.f"
     d = spark.createDataFrame([(1, text)], "doc_id long, text string")
     assert pii.sanitise(d).first().text == "call +[CARD] now [IP], [EMAIL][EMAIL]" or pii.sanitise(d).first().text == "call [PHONE] now [IP], [EMAIL][EMAIL]"
+
+
+def brute_terms(texts, support, disclosure, bits):
+    """Revealing terms, text by text: every distinct text, its entities, and its terms outside each entity's own characters."""
+    texts = set(texts)
+    terms = lambda t: {x for x in re.split(r"[^\w]+|_", t.lower()) if len(x) >= 4 and re.search(r"[^\W\d]", x)}
+    n_t, n_e, n_te = {}, {}, {}
+    for t in texts:
+        spans = [(m.start(), m.end(), m.group().lower()) for m in re.finditer(PLAIN["email"], t)]
+        for x in terms(t):
+            n_t[x] = n_t.get(x, 0) + 1
+        rest = terms(re.sub(PLAIN["email"], " ", t))
+        for e in {s[2] for s in spans}:
+            n_e[e] = n_e.get(e, 0) + 1
+            for x in rest | terms(" ".join(s[2] for s in spans if s[2] != e)):
+                n_te[e, x] = n_te.get((e, x), 0) + 1
+    return {x for (e, x), n in n_te.items() if n >= support and n / n_t[x] >= disclosure and math.log2(len(texts) * n / (n_t[x] * n_e[e])) >= bits}
+
+
+def test_terms_equal_brute_force(spark):
+    r = random.Random(21)
+    vocab = [f"term{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(80)]
+    people = [f"{chr(97 + i)}{chr(97 + i)}@corp{chr(97 + i)}.example" for i in range(12)]
+    texts = []
+    for i in range(400):
+        words = [r.choice(vocab) for _ in range(r.randrange(1, 12))]
+        if r.random() < 0.4:
+            k = r.randrange(12)
+            words += [people[k], *(["secretname" + chr(97 + k)] if r.random() < 0.9 else []), *(["alsohere" + chr(97 + k)] if r.random() < 0.5 else [])]
+            words += [people[r.randrange(12)]] if r.random() < 0.3 else []
+        if r.random() < 0.05:
+            words.append("alsohere" + chr(97 + r.randrange(12)))
+        r.shuffle(words)
+        texts += [" ".join(words)] * r.choice([1, 1, 1, 4])
+    want = brute_terms(texts, 5, 0.8, 4.0)
+    assert len(want) > 12
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for x in pii.find(d).collect():
+        t = texts[x.doc_id]
+        assert [(s.start, s.end) for s in x.spans if s.kind == "term"] == [m.span() for m in re.finditer(r"\w+", t) if m.group().lower() in want]
+
+
+def test_one_document_is_no_evidence(spark):
+    one = " ".join(f"context {i} filler platform today me@one.example" for i in range(7))
+    rows = [one, *[f"{names(i)} filler platform today and more" for i in range(300)]]
+    got = pii.find(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()
+    assert all(s.kind == "email" for x in got for s in x.spans)
+
+
+def test_copies_on_all_sides_change_nothing(spark):
+    rows = [f"{names(i)} Hartwig wrote from boss@corp.example {names(i + 40)}" for i in range(8)] * 3 + [f"{names(i)} wrote nothing from here" for i in range(200)]
+    got = {x.doc_id: [f"{s.kind}:{s.value}" for s in x.spans] for x in pii.find(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert all(got[i] == ["term:Hartwig", "email:boss@corp.example"] for i in range(24)) and not any(got[i] for i in range(24, 224))

@@ -59,3 +59,43 @@ def test_entropy_spans_and_allow_list(spark):
     got = {x.doc_id: [(s.kind, s.start, s.end) for s in x.spans] for x in secrets.find(d).collect()}
     assert got[1] == [("entropy", 4, 36)] and got[5] == [("assign", 0, 38)]
     assert {i: got[i] for i in (2, 3, 4, 6, 7, 8)} == dict.fromkeys((2, 3, 4, 6, 7, 8), [])
+
+
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+
+
+def brute_entropy(t):
+    """Entropy spans, by the rules of the module, worked window by window."""
+    base = [(m.start(), m.end()) for k in PLAIN for m in re.finditer(PLAIN[k], t) if TESTS[k](m)]
+    out = []
+    for m in CANDIDATE.finditer(t):
+        v, hit = m.group(), False
+        if re.search(secrets.ALLOWED[0], v) or re.search(secrets.ALLOWED[1], v):
+            continue
+        for x in re.sub(secrets.ALLOWED_PART, " ", v).split(" "):
+            if len(x) >= 20 and re.search("[0-9]", x) and re.search("[A-Za-z]", x):
+                name, _, _, bits = next(c for c in secrets.CLASSES if re.search(c[1], x))
+                hit |= entropy(x.lower() if name == "hex" else x, 20) >= bits
+        if hit and not any(a < m.end() and m.start() < b for a, b in base):
+            out.append((m.start(), m.end()))
+    return out
+
+
+def test_entropy_spans_equal_brute_force(spark):
+    r = random.Random(12)
+    alphabets = ["0123456789abcdef", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJabcdefghij0123456789+/_=-", "ab1", "0123456789"]
+    word = lambda: "".join(r.choice(a) for a in [r.choice(alphabets)] for _ in range(r.randrange(1, 70)))
+    texts = ["".join(r.choice([word(), "sample", "-", "/", "XXXX", " ", "é ", "token=", "aaaaaaaaaa"]) for _ in range(r.randrange(1, 12))) for _ in range(500)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: [(s.start, s.end) for s in x.spans if s.kind == "entropy"] for x in secrets.find(d).collect()}
+    want = {i: brute_entropy(t) for i, t in enumerate(texts)}
+    assert got == want and sum(map(len, want.values())) > 40
+
+
+def test_long_candidates_and_chance_placeholders(spark):
+    r = random.Random(5)
+    long = "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(20_000))
+    key = "Zk3vQ9xTf7LmPw2RbY8sHd4NcJ6gUe1a"
+    rows = [(1, long[:9000] + "XxxX" + long[9000:]), (2, "/sample/" + key), (3, "deadbeef0123fedc9876"), (4, "a9c3e1f7b2d8046f5ce1"), (5, key * 5000)]
+    got = {x.doc_id: [(s.kind, s.start, s.end) for s in x.spans] for x in secrets.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == [("entropy", 0, 20_004)] and got[2] == [("entropy", 0, 40)] and got[4] == [("entropy", 0, 20)] and got[5] == [("entropy", 0, 160_000)]

@@ -1,3 +1,4 @@
+import hashlib
 import io
 import struct
 
@@ -25,6 +26,14 @@ def test_round_trip_and_edges(spark):
     assert warc.round_trip(d.limit(0)).count() == 0
 
 
+def test_rows_that_repeat_an_id_with_other_payloads(spark):
+    a, b = "a" * 150, "b" * 150
+    rows = [(1, "u", a), (2, "u", b), (5, "u", a), (5, "u", b), (5, "u", "c" * 150), (5, "u", b)]
+    got = warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    want = [(1, "response", None, a), (2, "response", None, b), (5, "revisit", 1, a), (5, "revisit", 2, b), (5, "response", None, "c" * 150), (5, "revisit", 2, b)]
+    assert sorted(((x.page_id, x.record_type, x.refers_to, x.payload_digest) for x in got), key=str) == sorted(((i, k, f, hashlib.sha256(h.encode()).hexdigest()) for i, k, f, h in want), key=str)
+
+
 def archive(records, samples=()):
     out = io.BytesIO()
     w = warc.Writer(out, list(samples))
