@@ -37,3 +37,23 @@ def test_language_rejects_what_has_no_letter(spark):
     d = spark.createDataFrame([(1, "12 34 !!", None, "s", 8), (2, "the house and the tree", "en", "s", 22), (3, None, "en", "s", 0), (4, "le chat et la maison", "fr", "s", 20)], "doc_id long, text string, lang string, source string, n_chars long")
     assert language.UNKNOWN == "und"
     assert {r.doc_id for r in C.language_id(spark, d, DIR).collect()} <= {2, 4}
+
+
+def test_rows_without_or_with_repeated_ids(spark):
+    text = " ".join(f"word{i} of it" for i in range(30))
+    other = " ".join(f"thing{i} of it" for i in range(30))
+    item = shared.table(spark, DIR, "benchmark").where("length(text) > 200").first().text
+    rows = [(None, text), (3, text), (2, text), (2, text), (2, other), (2, other), (None, item), (None, ""), (None, ""), (5, None), (6, "unlike all the others that there are here")]
+    d = spark.createDataFrame([(i, t, "en", "s", 1, "x") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, _key string").drop("_key")
+    got = C.near_duplicates(spark, d, DIR)
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(2, text), (2, other), (None, item), (None, ""), (5, None), rows[-1]], key=str)
+    assert got.columns == d.columns and C.near_duplicates(spark, d.limit(0), DIR).count() == 0
+    clean = [(r.doc_id, r.text) for r in C.benchmark_free(spark, d, DIR).collect()]
+    assert (None, item) not in clean and len(clean) == len(rows) - 1
+
+
+def test_an_empty_table(spark):
+    docs = shared.documents(spark, DIR).limit(0)
+    for _, stage in C.STAGES:
+        docs = stage(spark, docs, DIR)
+    assert docs.count() == 0 and "ids" in docs.columns
