@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,7 +34,7 @@ def new_folder(spark: SparkSession, name: str) -> str:
 def stored(df: DataFrame, name: str = "table") -> DataFrame:
     """df written as a table in the shared folder and read again: lineage ends here."""
     path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
@@ -45,3 +46,9 @@ def drop(*tables: DataFrame) -> None:
         spark = t.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(t._stored_at)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Has Spark delete shuffle files of jobs that are over: it does so when the driver collects its garbage, which a driver with much memory seldom does."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
