@@ -4,8 +4,8 @@
    them, are counted, encoded once, and broadcast as flat arrays.
 2. Every other pre-token is exploded with its document and position and shuffled
    by word, so that all its occurrences meet: each distinct word is encoded once,
-   and its ids go back with the positions.  Frequent words are in the head, so
-   no word is hot here.
+   and its ids go back with the positions, in a stored table.  Frequent words are
+   in the head, so no word is hot here.
 3. The ids join their documents, and are put in their places by position.  What
    is shuffled for this is the compressed text, as that is smaller than its ids.
 4. Decoding joins ids with the token-byte table of the vocabulary, map-side: the
@@ -29,7 +29,7 @@ from . import shared
 from . import textkit as T
 
 #: Pre-tokens in the broadcast head at most; occurrences in a batch from which a pre-token is counted for it.
-HEAD_WORDS, COUNTED_FROM = 1 << 18, 2
+HEAD_WORDS, COUNTED_FROM = 400_000, 2
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 
 
@@ -248,7 +248,8 @@ def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
         return pa.RecordBatch.from_arrays([b.column(0), _binary(ids, off[first])], ["doc", "ids"])
 
     tail = shared.arrow_map(rows.select("key", "t"), explode, "key long, pos int, word binary").repartition("word").sortWithinPartitions("word")
-    encoded = shared.batched(tail, encode_once, "key long, pos int, ids binary")
+    encoded = shared.stored(shared.batched(tail, encode_once, "key long, pos int, ids binary"), "bpe-ids")
+    shared.release(spark)
     lists = encoded.groupBy("key").agg(F.collect_list(F.struct("pos", "ids")).alias("tail"))
     packed = shared.arrow_map(rows.select("doc", "key", "t"), pack, f"doc {kind}, key long, body binary")
     joined = packed.join(lists, "key", "left").select("doc", "body", "tail")

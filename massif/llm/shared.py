@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.storage import drop, new_folder, shared_folder, stored
+from ..functions.storage import drop, new_folder, release, shared_folder, stored
 
-__all__ = ["Bits", "arrow_map", "documents", "drop", "most_counted", "new_folder", "pieces", "shared_folder", "small", "stored", "table"]
+__all__ = ["Bits", "arrow_map", "documents", "drop", "most_counted", "new_folder", "pieces", "release", "shared_folder", "small", "stored", "table"]
 
 #: Bytes that are broadcast at most.
 BROADCAST_BYTES = 8 << 20
