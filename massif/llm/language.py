@@ -21,6 +21,8 @@ from . import textkit as T
 
 #: The bound of what the model is fitted on: whole texts of so many labelled rows of each language, and of so many languages, the most frequent; and the size of the hashed table.
 SAMPLE_ROWS, MOST_LANGS, LOG2 = 200, 256, 16
+#: Words of a chunk in forward-backward.
+CHUNK = 32
 UNKNOWN = "und"
 
 
@@ -74,25 +76,34 @@ class Model:
     def marginals(self, scores: np.ndarray, n: np.ndarray, forward: list | None = None) -> np.ndarray:
         """Forward-backward over sequences of n words whose scores follow one another; rows sum to 1.
 
-        forward: gets the probabilities given the words so far.
+        Sequences are worked in chunks, all at once: the product of a chunk's
+        matrices carries messages over it, so the steps are those of a chunk and
+        the number of chunks, not the words of the longest text.  forward: gets
+        the probabilities given the words so far.
         """
         langs = scores.shape[1]
         e = np.exp(scores - scores.max(axis=1, keepdims=True)).astype(np.float32)
         trans = np.exp(self.trans - self.trans.max())
-        order = np.argsort(-n, kind="stable")
-        n, first = n[order], (np.cumsum(n) - n)[order]
-        most = int(n[0]) if len(n) else 0
-        alive = np.searchsorted(-n, -np.arange(1, most + 1), side="right")  # sequences with a word at t
+        parts = -(-n // CHUNK)
+        owner = np.repeat(np.arange(len(n)), parts)
+        number = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
+        first = (np.cumsum(n) - n)[owner] + number * CHUNK
+        size = np.minimum(CHUNK, n[owner] - number * CHUNK)
+        before, after = np.full((len(owner), langs), 1.0 / langs, np.float32), np.ones((len(owner), langs), np.float32)
+        if len(parts) and parts.max() > 1:
+            self._carry(e, trans, parts[owner], number, first, size, before, after)
+        order = np.argsort(-size, kind="stable")
+        size, first, a, b = size[order], first[order], before[order], after[order]
+        most = int(size[0]) if len(size) else 0
+        alive = np.searchsorted(-size, -np.arange(1, most + 1), side="right")  # chunks with a word at t
         out = np.empty((len(scores), langs), np.float32)
-        a = np.full((len(n), langs), 1.0 / langs, np.float32)
         for t in range(most):
             k = alive[t]
             i = first[:k] + t
-            x = e[i] if t == 0 else (a[:k] @ trans) * e[i]
+            x = (a[:k] if t == 0 else a[:k] @ trans) * e[i]
             a[:k] = out[i] = x / np.maximum(x.sum(axis=1, keepdims=True), 1e-30)
         if forward is not None:
             forward.append(out.copy())
-        b = np.ones((len(n), langs), np.float32)
         for t in range(most - 1, -1, -1):
             k = alive[t]
             i = first[:k] + t
@@ -102,6 +113,31 @@ class Model:
             b[:k] = y / np.maximum(y.max(axis=1, keepdims=True), 1e-30)
         return out
 
+    def _carry(self, e, trans, parts, number, first, size, before, after) -> None:
+        """Fills in what reaches each chunk of a longer sequence from before it, and from after it."""
+        langs = len(trans)
+        long = np.flatnonzero(parts > 1)
+        order = long[np.argsort(-size[long], kind="stable")]
+        sizes = -size[order]
+        q = np.zeros((len(order), langs, langs), np.float32)
+        q[:, range(langs), range(langs)] = e[first[order]]
+        for t in range(1, CHUNK):
+            k = np.searchsorted(sizes, -t - 1, side="right")
+            x = (q[:k].reshape(-1, langs) @ trans).reshape(-1, langs, langs) * e[first[order[:k]] + t][:, None, :]
+            q[:k] = x / np.maximum(x.max(axis=(1, 2), keepdims=True), 1e-30)
+        place = np.full(len(number), -1)
+        place[order] = np.arange(len(order))
+        by_number = long[np.argsort(number[long], kind="stable")]
+        bounds = np.searchsorted(number[by_number], np.arange(number[by_number[-1]] + 2))
+        for j in range(1, len(bounds) - 1):
+            at = by_number[bounds[j] : bounds[j + 1]]
+            x = np.einsum("ki,kij->kj", before[at - 1], q[place[at - 1]]) @ trans
+            before[at] = x / np.maximum(x.sum(axis=1, keepdims=True), 1e-30)
+        for j in range(len(bounds) - 2, 0, -1):
+            at = by_number[bounds[j] : bounds[j + 1]]
+            x = np.einsum("kij,kj->ki", q[place[at]], after[at]) @ trans.T
+            after[at - 1] = x / np.maximum(x.max(axis=1, keepdims=True), 1e-30)
+
 
 def fit(rows: list[tuple[str, str]], seed: int = 7, length: int = 40, epochs: int = 3, rate: float = 0.3) -> Model:
     """Maximises the conditional likelihood of labelled sequences that switch languages, by AdaGrad."""

@@ -92,8 +92,11 @@ def revealing_terms(found: DataFrame, docs: DataFrame, text: str, support: int =
     both = counts.where("term <> ''").join(own, "entity").select("entity", "term", "n_e", F.col("n").alias("n_te"))
     if both.isEmpty():
         return both.select("term")
-    # copies go before terms are exploded, so that what is shuffled afterwards is a count for each task and term
-    texts = docs.select(F.coalesce(text, F.lit("")).alias("t")).select(F.sha2(F.col("t").cast("binary"), 256).alias("whole"), "t").dropDuplicates(["whole"])
+    # texts that occur once are counted where they are; of the others, one of each is
+    texts = docs.select(F.coalesce(text, F.lit("")).alias("t")).select(F.sha2(F.col("t").cast("binary"), 256).alias("whole"), "t")
+    copied = shared.stored(found.groupBy("whole").agg(F.count("*").alias("n")).where("n > 1").select("whole"), "copied-texts")
+    few = shared.small(copied)
+    texts = texts.join(few, "whole", "left_anti").unionByName(texts.join(few, "whole", "left_semi").dropDuplicates(["whole"]))
     n_t = texts.select(F.explode(terms_of(F.col("t"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
     total = found.select("whole").distinct().count()
     information = F.log2(F.lit(float(total)) * F.col("n_te") / (F.col("n_t") * F.col("n_e")))

@@ -245,14 +245,16 @@ def rest_pairs(rows: DataFrame, nodes: DataFrame, percent: int, best: bool, whol
     given as a star, so that a group gives no more rows than it has.
     """
     # the label with the most rows of a group meets the others only; a block is met by those whose sizes fit
-    sides = rows.groupBy("key", "minor", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    o = sides.select("key", *[F.col(c).alias(f"o_{c}") for c in ("minor", "block", "lo", "hi")])
+    sides = rows.groupBy("key", "minor", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("node").alias("least"))
+    o = sides.select("key", *[F.col(c).alias(f"o_{c}") for c in ("minor", "block", "lo", "hi", "least")])
     fits = (100 * F.col("hi") >= percent * F.col("o_lo")) & (100 * F.col("o_hi") >= percent * F.col("lo")) & (F.col("minor") | F.col("o_minor"))
-    met = sides.join(o, "key").where(fits & (F.col("block") <= F.col("o_block"))).select("key", F.col("block").alias("x"), F.col("o_block").alias("y"))
+    met = sides.join(o, "key").where(fits & (F.col("block") <= F.col("o_block"))).select("key", F.col("block").alias("x"), F.col("o_block").alias("y"), F.least("least", "o_least").alias("near"))
     met = met.withColumn("task", F.xxhash64("key", "x", "y"))
-    ends = met.select("task", F.col("x").alias("block")).unionByName(met.where("x <> y").select("task", F.col("y").alias("block")))
+    ends = met.select("task", "near", F.col("x").alias("block")).unionByName(met.where("x <> y").select("task", "near", F.col("y").alias("block")))
     held = nodes.select("node", F.col("hashes" if whole else "sig").alias("held"))
-    spread = rows.join(ends, "block").join(held, "node").select("task", "node", "n", "label", "held").repartition("task").sortWithinPartitions("task")
+    spread = rows.join(ends, "block").join(held, "node")
+    # groups of one family mostly have their least set in common: they come together, and a pair that several of them give goes once
+    spread = spread.select("task", "near", "node", "n", "label", "held").repartition("near").sortWithinPartitions("task").drop("near")
 
     def search(t: pa.RecordBatch) -> pa.RecordBatch | None:
         task, node, n, label = (t.column(c).to_numpy() for c in ("task", "node", "n", "label"))

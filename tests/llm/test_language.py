@@ -69,3 +69,14 @@ def test_rows_without_an_id_are_held_out(spark, tmp_path):
     rows = [(None, EN, "en"), (1, EN, "en"), (2, DE, "de")]
     spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     assert {x.doc_id: x.held_out for x in L.op3_language(spark, str(tmp_path)).collect()}[None]
+
+
+def test_chunks_change_nothing(monkeypatch):
+    m = L.Model(["a", "b", "c"])
+    r = np.random.default_rng(5)
+    m.trans = r.normal(size=(3, 3)).astype(np.float32)
+    n = np.array([0, 3, 700, 32, 33, 64, 1, 0, 2000])
+    s = r.normal(size=(n.sum(), 3)).astype(np.float32)
+    got = m.marginals(s, n)
+    monkeypatch.setattr(L, "CHUNK", 10_000)
+    np.testing.assert_allclose(got, m.marginals(s, n), atol=1e-4)
