@@ -29,7 +29,7 @@ def registered(name: str) -> str:
 
 def _load() -> None:
     from .streaming import events  # noqa: F401
-    from .plans import classes, network, planet, terrain  # noqa: F401  registers its queries
+    from .plans import classes, network, planet, rules, terrain  # noqa: F401  registers its queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
