@@ -82,34 +82,46 @@ def strahler(z: np.ndarray, least: int = 50) -> np.ndarray:
     return order
 
 
+def horn(z: np.ndarray, r: int, c: int, cell: float) -> float:
+    """The slope at an interior cell, by Horn's differences."""
+    (a, b, e), (d, _, f), (g, h, i) = z[r - 1 : r + 2, c - 1 : c + 2].tolist()
+    return float(np.hypot((e + 2 * f + i) - (a + 2 * d + g), (a + 2 * b + e) - (g + 2 * h + i))) / (8 * cell)
+
+
 def mass_wasting(z: np.ndarray, repose_deg: float = 30.0, cell: float = 90.0) -> np.ndarray:
-    """Half of what exceeds the angle of repose moves to the steepest lower neighbour, from high to low; mass is kept."""
+    """Interior cells that are steeper than the angle of repose, from high to low, give to their steepest lower neighbour half of what exceeds it; mass is kept."""
     z = z.copy()
     h, w = z.shape
+    steep = np.tan(np.radians(repose_deg))
     for i in np.argsort(-z, axis=None, kind="stable"):
         r, c = divmod(int(i), w)
-        most, to = 0.0, None
+        if not (0 < r < h - 1 and 0 < c < w - 1) or horn(z, r, c, cell) <= steep:
+            continue
+        best, to = 0.0, None
         for dr, dc in STEPS:
-            a, b = r + dr, c + dc
-            if 0 <= a < h and 0 <= b < w:
-                excess = z[r, c] - z[a, b] - np.tan(np.radians(repose_deg)) * cell * np.hypot(dr, dc)
-                if excess > most:
-                    most, to = excess, (a, b)
+            away = cell * np.hypot(dr, dc)
+            drop = (z[r, c] - z[r + dr, c + dc]) / away
+            if drop > best:
+                best, to = drop, (r + dr, c + dc, away)
         if to:
-            z[r, c] -= most / 2
-            z[to] += most / 2
+            a, b, away = to
+            moved = ((z[r, c] - z[a, b]) - steep * away) / 2
+            if moved > 0:
+                z[r, c] -= moved
+                z[a, b] += moved
     return z
 
 
-def stream_power(z: np.ndarray, k: float = 0.02, most: float = 10.0, rounds: int = 3, cell: float = 90.0) -> np.ndarray:
-    """Erosion by the root of the accumulation times the slope, at most so many metres a round, then mass wasting."""
+def stream_power(z: np.ndarray, k: float = 0.5, most: float = 10.0, rounds: int = 3, cell: float = 90.0, repose_deg: float = 30.0) -> np.ndarray:
+    """Interior cells lose k times the root of the accumulation times Horn's slope, at most so many metres a round; nothing falls below 0; then mass wasting."""
     for _ in range(rounds):
-        d = directions(z)
-        acc = accumulation(z, d)
-        pad = np.pad(z, 1, constant_values=np.inf)
-        h, w = z.shape
-        slope = np.stack([(z - pad[1 + dr : 1 + dr + h, 1 + dc : 1 + dc + w]) / (np.hypot(dr, dc) * cell) for dr, dc in STEPS]).max(axis=0).clip(0)
-        z = mass_wasting(z - np.minimum(k * np.sqrt(acc) * slope * cell, most))
+        acc = accumulation(z, directions(z))
+        lost = np.zeros(z.shape)
+        n = lambda dr, dc: z[1 + dr : z.shape[0] - 1 + dr, 1 + dc : z.shape[1] - 1 + dc]
+        gx = (n(-1, 1) + 2 * n(0, 1) + n(1, 1)) - (n(-1, -1) + 2 * n(0, -1) + n(1, -1))
+        gy = (n(-1, -1) + 2 * n(-1, 0) + n(-1, 1)) - (n(1, -1) + 2 * n(1, 0) + n(1, 1))
+        lost[1:-1, 1:-1] = np.minimum(k * np.sqrt(acc[1:-1, 1:-1]) * np.hypot(gx, gy) / (8 * cell), most)
+        z = mass_wasting(np.maximum(z - lost, 0.0), repose_deg, cell)
     return z
 
 

@@ -46,11 +46,11 @@ def class_stats_round(spark, sf_dir):
     return class_stats(R.table(spark, sf_dir, "embeddings").select(F.col("label").alias("cls"), F.col("embedding")[0].cast("double").alias("x")), ["cls"], "x", "round")
 
 
-@query("hist_stats", q("t AS (SELECT label, vec_id, i AS bin, CAST(embedding[i] AS DOUBLE) AS x FROM embeddings, unnest(range(1, 11)) AS t(i))", select="SELECT label, bin, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std FROM t GROUP BY ALL"))
+@query("hist_stats", q("t AS (SELECT label, i AS bin, CAST(embedding[i] AS DOUBLE) AS x FROM embeddings, unnest(range(1, 65)) AS t(i))", "k AS (SELECT *, row_number() OVER (PARTITION BY label, bin ORDER BY x) - 1 AS k, count(*) OVER (PARTITION BY label, bin) AS m FROM t)", select="SELECT label, bin, count(*) AS n, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std, round(max(x) FILTER (k = floor(0.1 * (m - 1))), 6) AS p10, round(max(x) FILTER (k = floor(0.9 * (m - 1))), 6) AS p90 FROM k GROUP BY ALL"))
 def hist_stats(spark, sf_dir):
-    """Mean and deviation of each position of the vectors by class."""
-    t = R.table(spark, sf_dir, "embeddings").select("label", F.posexplode(F.slice("embedding", 1, 10)).alias("p", "x"))
-    return t.groupBy("label", (F.col("p") + 1).cast("long").alias("bin")).agg(rnd(F.avg(F.col("x").cast("double"))).alias("mean"), rnd(F.stddev_pop(F.col("x").cast("double"))).alias("std"))
+    """Statistics of each position of the vectors by class."""
+    t = R.table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("p", "x"))
+    return class_stats(t.select("label", (F.col("p") + 1).cast("long").alias("bin"), F.col("x").cast("double").alias("x")), ["label", "bin"], "x")
 
 
 @query("class_rollup", "SELECT l_returnflag AS flag, l_linestatus AS status, count(*) AS n, round(avg(l_quantity), 6) AS mean FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
@@ -81,34 +81,47 @@ def classify_windows(spark, sf_dir):
     return s.select("tile_id", rnd(F.col("relief")).alias("relief"), rnd(F.col("mean_z")).alias("mean_z"), rnd(F.col("f1")).alias("flat_share"), F.expr(_CLASSIFY).alias("terrain_class"))
 
 
-#: Bands (p10, p90) of the Hurst exponent and the hypsometric integral by class.
+#: Bands (p10, p90) of each metric by class, in the order of CLASSES.
+CLASSES = ("Alpine", "Coastal", "Cratonic", "FluvialArid", "FluvialHumid")
 BANDS = {
-    "Alpine": ((0.683, 0.819), (0.196, 0.513)),
-    "Coastal": ((0.416, 0.572), (0.334, 0.606)),
-    "Cratonic": ((0.482, 0.662), (0.132, 0.334)),
-    "FluvialArid": ((0.562, 0.774), (0.158, 0.466)),
-    "FluvialHumid": ((0.357, 0.629), (0.218, 0.509)),
+    "hurst": ((0.683, 0.819), (0.416, 0.572), (0.482, 0.662), (0.551, 0.782), (0.357, 0.629)),
+    "roughness": ((0.023, 0.712), (-0.156, 0.240), (0.053, 0.632), (-0.087, 0.629), (-0.184, 0.560)),
+    "multifractal": ((0.204, 1.123), (0.149, 0.740), (0.123, 0.648), (0.258, 0.907), (0.170, 0.888)),
+    "slope": ((0.5, 20.5), (0.5, 1.5), (0.5, 0.5), (0.5, 2.5), (0.5, 2.5)),
+    "aspect": ((0.4, 0.85), (0.4, 0.85), (0.4, 0.85), (0.4, 0.85), (0.4, 0.85)),
+    "tpi": ((0.074, 0.130), (0.224, 0.347), (0.132, 0.334), (0.088, 0.198), (0.167, 0.393)),
+    "hypsometry": ((0.196, 0.513), (0.334, 0.606), (0.137, 0.435), (0.217, 0.521), (0.218, 0.509)),
+    "drainage": ((1.407, 3.187), (0.024, 1.886), (0.084, 0.972), (1.351, 2.793), (0.060, 2.662)),
+    "morans": ((0.021, 0.355), (0.054, 0.404), (0.027, 0.350), (0.062, 0.404), (0.068, 0.378)),
 }
 
 
 def band_score(x: Column, lo: Column, hi: Column) -> Column:
     """1 within the band, falling to 0 over one width of the band on both sides."""
     away = F.greatest(lo - x, x - hi, F.lit(0.0))
-    return F.greatest(F.lit(0.0), 1 - away / F.nullif(hi - lo, F.lit(0.0)))
+    return F.greatest(F.lit(0.0), 1 - away / F.greatest(hi - lo, F.lit(1e-6)))
 
 
-_BANDS = "bands AS (SELECT * FROM (VALUES " + ", ".join(f"('{k}', {a}, {b})" for k, (_, (a, b)) in BANDS.items()) + ") AS v(cls, lo, hi))"
+_BANDS = "bands AS (SELECT * FROM (VALUES " + ", ".join(f"('{c}', '{m}', {lo!r}::DOUBLE, {hi!r}::DOUBLE)" for m, rows in BANDS.items() for c, (lo, hi) in zip(CLASSES, rows, strict=True)) + ") AS v(cls, metric, lo, hi))"
 
 
-@query("band_scores", q(CELLS, _BANDS, "h AS (SELECT tile_id, (avg(z) - min(z)) / (max(z) - min(z)) AS x FROM cells GROUP BY 1)", select="SELECT tile_id, cls, round(greatest(0.0, 1 - greatest(lo - x, x - hi, 0) / (hi - lo)), 6) AS score, CASE WHEN x BETWEEN lo AND hi THEN 'PASS' WHEN x BETWEEN lo - 0.1 * (hi - lo) AND hi + 0.1 * (hi - lo) THEN 'WARN' ELSE 'FAIL' END AS status FROM h, bands"))
+def bands(spark) -> DataFrame:
+    """(cls, metric, lo, hi): forty-five fixed rows."""
+    return spark.createDataFrame([(c, m, lo, hi) for m, rows in BANDS.items() for c, (lo, hi) in zip(CLASSES, rows, strict=True)], "cls string, metric string, lo double, hi double")
+
+
+_TWO = "x AS (SELECT tile_id, 'hypsometry' AS metric, (avg(z) - min(z)) / (max(z) - min(z)) AS x FROM cells GROUP BY 1 UNION ALL SELECT tile_id, 'drainage', count(*) FILTER (z < 0) * 0.09 / 33.1776 FROM cells GROUP BY 1)"
+
+
+@query("band_scores", q(CELLS, _BANDS, _TWO, select="SELECT tile_id, metric, cls, round(greatest(0.0, 1 - greatest(lo - x, x - hi, 0) / greatest(hi - lo, 1e-6)), 6) AS score, CASE WHEN x BETWEEN lo AND hi THEN 'PASS' WHEN x BETWEEN lo - 0.1 * (hi - lo) AND hi + 0.1 * (hi - lo) THEN 'WARN' ELSE 'FAIL' END AS status FROM x JOIN bands USING (metric)"))
 def band_scores(spark, sf_dir):
-    """Score and status of each tile's hypsometric integral against each class's band (five rows, so broadcast)."""
-    h = R.emb_cells(spark, sf_dir).groupBy("tile_id").agg(((F.avg("z") - F.min("z")) / F.nullif(F.max("z") - F.min("z"), F.lit(0.0))).alias("x"))
-    b = spark.createDataFrame([(k, *hi) for k, (_, hi) in BANDS.items()], "cls string, lo double, hi double")
+    """Score and status of metrics of each tile against each class's band (the bands are fixed rows, so broadcast)."""
+    cells = R.emb_cells(spark, sf_dir).groupBy("tile_id")
+    h = cells.agg(((F.avg("z") - F.min("z")) / F.nullif(F.max("z") - F.min("z"), F.lit(0.0))).alias("hypsometry"), (F.count(F.when(F.col("z") < 0, 1)) * 0.09 / 33.1776).alias("drainage"))
     x, lo, hi = F.col("x"), F.col("lo"), F.col("hi")
     slack = 0.1 * (hi - lo)
     status = F.when(x.between(lo, hi), "PASS").when(x.between(lo - slack, hi + slack), "WARN").otherwise("FAIL")
-    return h.join(F.broadcast(b), x.isNotNull()).select("tile_id", "cls", rnd(band_score(x, lo, hi)).alias("score"), status.alias("status"))
+    return h.unpivot("tile_id", ["hypsometry", "drainage"], "metric", "x").where(x.isNotNull()).join(F.broadcast(bands(spark)), "metric").select("tile_id", "metric", "cls", rnd(band_score(x, lo, hi)).alias("score"), status.alias("status"))
 
 
 @query("sanity_checks", q(CELLS, "h AS (SELECT tile_id % 5 AS cls, tile_id, (avg(z) - min(z)) / (max(z) - min(z)) AS hi FROM cells GROUP BY ALL)", select="SELECT CAST(cls AS INT) AS cls, count(*) AS n, count(*) >= 50 AS enough, bool_and(hi > 0 AND hi < 1) AS hi_in_range FROM h GROUP BY 1"))
@@ -124,9 +137,10 @@ def pair_join(spark, sf_dir):
     return R.table(spark, sf_dir, "orders").select("o_orderkey").join(lines, "o_orderkey")
 
 
-@query("unmatched_antijoin", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("unmatched_antijoin", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)")
 def unmatched_antijoin(spark, sf_dir):
-    o = R.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    """Customers without a large order."""
+    o = R.table(spark, sf_dir, "orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey"))
     return R.table(spark, sf_dir, "customer").select("c_custkey").join(o, "c_custkey", "left_anti")
 
 

@@ -36,36 +36,47 @@ def geomorphon_l1(spark, sf_dir):
     return both.select("tile_id", "cls", l1.alias("d")).select("tile_id", "cls", rnd(F.col("d"), 4).alias("l1"), rnd(F.when(F.col("d") <= 0.15, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - (F.col("d") - 0.15) / 0.15)), 4).alias("score"))
 
 
-#: Metric, query and column, weight, and the Alpine band (p10, p90).
+#: Metric, query, column, weight, and what a missing value counts as; landforms have 0.14, and the weights sum to 1.
 SCORED = (
-    ("hurst", "hurst_pooled", "hurst", 0.10, (0.683, 0.819)),
-    ("roughness", "roughness_elev_corr", "r", 0.10, (0.023, 0.712)),
-    ("multifractal", "multifractal_width", "width", 0.08, (0.204, 1.123)),
-    ("slope", "slope_distribution", "mode_deg", 0.08, (0.5, 20.5)),
-    ("aspect", "aspect_circular_variance", "circular_variance", 0.08, (0.833, 0.969)),
-    ("hypsometry", "hypsometric_integral", "hi", 0.12, (0.196, 0.513)),
-    ("drainage", "drainage_density", "km_per_km2", 0.12, (1.407, 3.187)),
-    ("morans", "morans_i_blocks", "i", 0.10, (0.021, 0.355)),
+    ("hurst", "hurst_pooled", "hurst", 0.10, 0.0),
+    ("roughness", "roughness_elev_corr", "r", 0.10, 0.0),
+    ("multifractal", "multifractal_width", "width", 0.08, 0.0),
+    ("slope", "slope_distribution", "mode_deg", 0.08, 0.0),
+    ("aspect", "aspect_circular_variance", "circular_variance", 0.08, 0.5),
+    ("tpi", "tpi_ratios", "r1_r2", 0.08, 0.0),
+    ("hypsometry", "hypsometric_integral", "hi", 0.12, 0.0),
+    ("drainage", "drainage_density", "km_per_km2", 0.12, 0.0),
+    ("morans", "morans_i_blocks", "i", 0.10, 0.0),
 )
+LANDFORMS = 0.14
 
 
 def _realism_sql() -> str:
-    parts = [f"m{k} AS (SELECT tile_id, {col} AS x{k} FROM ({registered(name)}))" for k, (_, name, col, _, _) in enumerate(SCORED)]
-    total = sum(w for *_, w, _ in SCORED)
-    score = " + ".join(f"{w!r} * coalesce(greatest(0.0, 1 - greatest({lo!r} - x{k}, x{k} - {hi!r}, 0) / ({hi!r} - {lo!r})), 0)" for k, (_, _, _, w, (lo, hi)) in enumerate(SCORED))
-    return q(*parts, "ids AS (SELECT tile_id FROM m5)", select=f"SELECT ids.tile_id, round(({score}) / {total!r} * 100, 3) AS score FROM ids " + " ".join(f"LEFT JOIN m{k} USING (tile_id)" for k in range(len(SCORED))))
+    parts = [f"m{k} AS (SELECT tile_id, CAST({col} AS DOUBLE) AS x{k} FROM ({registered(name)}))" for k, (_, name, col, _, _) in enumerate(SCORED)]
+    rows = ", ".join(f"('{c}', " + ", ".join(f"{x!r}::DOUBLE" for m, *_ in SCORED for x in classes.BANDS[m][i]) + ")" for i, c in enumerate(classes.CLASSES))
+    names = ", ".join(f"lo{k}, hi{k}" for k in range(len(SCORED)))
+    x = lambda k, none: f"CASE WHEN isfinite(x{k}) THEN x{k} ELSE {none} END"
+    score = " + ".join(f"{w!r} * greatest(0.0, 1 - greatest(lo{k} - {x(k, none)}, {x(k, none)} - hi{k}, 0) / greatest(hi{k} - lo{k}, 1e-6))" for k, (_, _, _, w, none) in enumerate(SCORED))
+    return q(*parts, f"g AS ({registered('geomorphon_l1')})", f"b AS (SELECT * FROM (VALUES {rows}) AS v(cls, {names}))", "ids AS (SELECT tile_id FROM m6)", select=f"SELECT ids.tile_id, b.cls, round(({score} + {LANDFORMS} * coalesce(g.score, 0)) * 100, 3) AS score FROM ids CROSS JOIN b " + " ".join(f"LEFT JOIN m{k} ON m{k}.tile_id = ids.tile_id" for k in range(len(SCORED))) + " LEFT JOIN g ON g.tile_id = ids.tile_id AND g.cls = b.cls")
 
 
 @query("realism_score", _realism_sql())
 def realism_score(spark, sf_dir):
-    """Weighted band scores of eight metrics of each tile as Alpine terrain, out of 100; a missing metric scores 0."""
-    names = {"hurst_pooled": terrain.hurst_pooled, "roughness_elev_corr": terrain.roughness_elev_corr, "multifractal_width": terrain.multifractal_width, "slope_distribution": terrain.slope_distribution, "aspect_circular_variance": terrain.aspect_circular_variance, "hypsometric_integral": terrain.hypsometric_integral, "drainage_density": network.drainage_density, "morans_i_blocks": terrain.morans_i_blocks}
-    out = terrain.hypsometric_integral(spark, sf_dir).select("tile_id")
+    """Weighted scores of ten metrics of each tile as terrain of each class, out of 100."""
+    functions = {**vars(terrain), **vars(network)}
+    out = None
+    for metric, name, col, _, none in SCORED:
+        x = F.col(col).cast("double")
+        one = functions[name](spark, sf_dir).select("tile_id", F.when(x.isNotNull() & ~F.isnan(x), x).otherwise(none).alias(metric))
+        out = one if out is None else out.join(one, "tile_id", "full")
+    # a row for each class with its bands, which are constants
+    of = [F.struct(F.lit(c).alias("cls"), *[F.struct(F.lit(classes.BANDS[m][i][0]).alias("lo"), F.lit(classes.BANDS[m][i][1]).alias("hi")).alias(m) for m, *_ in SCORED]) for i, c in enumerate(classes.CLASSES)]
+    out = out.withColumn("b", F.explode(F.array(*of))).withColumn("cls", F.col("b.cls"))
     score = F.lit(0.0)
-    for metric, name, col, w, (lo, hi) in SCORED:
-        out = out.join(names[name](spark, sf_dir).select("tile_id", F.col(col).alias(metric)), "tile_id", "left")
-        score = score + w * F.coalesce(classes.band_score(F.col(metric), F.lit(lo), F.lit(hi)), F.lit(0.0))
-    return out.select("tile_id", rnd(score / sum(w for *_, w, _ in SCORED) * 100, 3).alias("score"))
+    for metric, _, _, w, none in SCORED:
+        score = score + w * classes.band_score(F.coalesce(metric, F.lit(none)), F.col("b")[metric]["lo"], F.col("b")[metric]["hi"])
+    landforms = geomorphon_l1(spark, sf_dir).select("tile_id", "cls", F.col("score").alias("g"))
+    return out.join(landforms, ["tile_id", "cls"], "left").select("tile_id", "cls", rnd((score + LANDFORMS * F.coalesce("g", F.lit(0.0))) * 100, 3).alias("score"))
 
 
 @query("hillshade", q(CELLS, NB, GRAD, "s AS (SELECT tile_id, r, c, atan(sqrt(gx * gx + gy * gy)) AS sl, atan2(gx, -gy) AS asp FROM grad WHERE gx + gy IS NOT NULL)", select="SELECT tile_id, CAST(r AS INT) AS r, CAST(c AS INT) AS c, round(greatest(0.0, cos(radians(45)) * cos(sl) + sin(radians(45)) * sin(sl) * cos(radians(315) - asp)), 5) AS light FROM s"))

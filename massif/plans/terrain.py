@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..catalog import query
+from ..catalog import query, registered
 from ..operators import raster as R
 from .sqltext import CELLS, GRAD, NB, q
 
@@ -198,6 +198,15 @@ def tpi_disc(spark, sf_dir):
     return out
 
 
+@query("tpi_ratios", q(f"t AS ({registered('tpi_disc')})", "p AS (SELECT tile_id, max(tpi_std) FILTER (radius = 5) AS a, max(tpi_std) FILTER (radius = 10) AS b, max(tpi_std) FILTER (radius = 20) AS c FROM t GROUP BY 1)", select="SELECT tile_id, round(a / nullif(b, 0), 5) AS r1_r2, round(b / nullif(c, 0), 5) AS r2_r3, coalesce(abs(a / nullif(b, 0) - b / nullif(c, 0)) > 0.1, false) AS scale_dependent FROM p"))
+def tpi_ratios(spark, sf_dir):
+    """Ratios of the deviations at neighbouring radii, and whether they differ by scale."""
+    at = lambda r: F.max(F.when(F.col("radius") == r, F.col("tpi_std")))
+    p = tpi_disc(spark, sf_dir).groupBy("tile_id").agg(at(5).alias("a"), at(10).alias("b"), at(20).alias("c"))
+    x, y = F.col("a") / F.nullif("b", F.lit(0.0)), F.col("b") / F.nullif("c", F.lit(0.0))
+    return p.select("tile_id", rnd(x, 5).alias("r1_r2"), rnd(y, 5).alias("r2_r3"), F.coalesce(F.abs(x - y) > 0.1, F.lit(False)).alias("scale_dependent"))
+
+
 @query("hypsometric_integral", q(CELLS, select="SELECT tile_id, round(CASE WHEN max(z) - min(z) < 1 THEN 0.0 ELSE (avg(z) - min(z)) / (max(z) - min(z)) END, 6) AS hi, round(max(z) - min(z), 6) AS relief FROM cells GROUP BY 1"))
 def hypsometric_integral(spark, sf_dir):
     low, high = F.min("z"), F.max("z")
