@@ -38,6 +38,8 @@ from . import textkit as T
 BLOCK, FREQUENT, FREQUENT_FROM, ROUNDS = 512, 1 << 17, 12, 3
 #: Bytes of text in which a hash has to occur twice to be counted.
 COUNTED = 8 << 20
+#: Rows of groups with the same least set that are searched in one place; more are split.
+FAMILY = 1 << 17
 
 
 def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
@@ -245,11 +247,11 @@ def rest_pairs(rows: DataFrame, nodes: DataFrame, percent: int, best: bool, whol
     given as a star, so that a group gives no more rows than it has.
     """
     # the label with the most rows of a group meets the others only; a block is met by those whose sizes fit
-    sides = rows.groupBy("key", "minor", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("node").alias("least"))
-    o = sides.select("key", *[F.col(c).alias(f"o_{c}") for c in ("minor", "block", "lo", "hi", "least")])
+    sides = rows.groupBy("key", "minor", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("node").alias("least"), F.count("*").alias("size"))
+    o = sides.select("key", *[F.col(c).alias(f"o_{c}") for c in ("minor", "block", "lo", "hi", "least", "size")])
     fits = (100 * F.col("hi") >= percent * F.col("o_lo")) & (100 * F.col("o_hi") >= percent * F.col("lo")) & (F.col("minor") | F.col("o_minor"))
-    met = sides.join(o, "key").where(fits & (F.col("block") <= F.col("o_block"))).select("key", F.col("block").alias("x"), F.col("o_block").alias("y"), F.least("least", "o_least").alias("near"))
-    met = met.withColumn("task", F.xxhash64("key", "x", "y"))
+    met = sides.join(o, "key").where(fits & (F.col("block") <= F.col("o_block"))).select("key", F.col("block").alias("x"), F.col("o_block").alias("y"), F.least("least", "o_least").alias("near"), (F.col("size") + F.col("o_size")).alias("size"))
+    met = dealt(met.withColumn("task", F.xxhash64("key", "x", "y")))
     ends = met.select("task", "near", F.col("x").alias("block")).unionByName(met.where("x <> y").select("task", "near", F.col("y").alias("block")))
     held = nodes.select("node", F.col("hashes" if whole else "sig").alias("held"))
     spread = rows.join(ends, "block").join(held, "node")
@@ -312,6 +314,13 @@ def rest_pairs(rows: DataFrame, nodes: DataFrame, percent: int, best: bool, whol
     return shared.batched(spread, run, "a long, b long")
 
 
+def dealt(met: DataFrame) -> DataFrame:
+    """met (task, near, size, ...) with the near of a family of more than FAMILY rows split by task, so that no family stays in one place."""
+    large = met.groupBy("near").agg(F.sum("size").alias("all")).where(F.col("all") > FAMILY).select(F.col("near").alias("_near"), F.ceil(F.col("all") / FAMILY).alias("parts"))
+    split = F.when(F.col("parts").isNotNull(), F.xxhash64("near", F.pmod("task", "parts"))).otherwise(F.col("near"))
+    return met.join(large, met["near"] == large["_near"], "left").withColumn("near", split).drop("_near", "parts", "size")
+
+
 def _same(h: np.ndarray, offs: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """The pairs of these sets that are similar; a pair that is not is given as i with itself."""
     n = np.diff(offs)

@@ -54,6 +54,7 @@ def corpus(seed, families=12, copies=9):
 @pytest.mark.parametrize("block", [512, 3])
 def test_equals_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(setjoin, "BLOCK", block)
+    monkeypatch.setattr(setjoin, "FAMILY", 8 * block)
     rows = corpus(block) + [(900, None), (901, ""), (902, "one"), (903, "ONE"), (904, "a b c d"), (905, "a b  c\td"), (None, "a b c d"), (905, "a b  c\td"), (950, "lonely " * 4000), (906, " \n")]
     d = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, node string")
     got = sorted((tuple(x) for x in jaccard.jaccard_components(d).collect()), key=str)
