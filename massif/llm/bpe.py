@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -30,6 +31,8 @@ from . import textkit as T
 
 #: Pre-tokens in the broadcast head at most; occurrences in a batch from which a pre-token is counted for it.
 HEAD_WORDS, COUNTED_FROM = 400_000, 2
+#: Words of the head that are hashed at a time.
+HASHED = 1 << 15
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 
 
@@ -152,16 +155,22 @@ def _words(data: np.ndarray, bounds: np.ndarray, at: np.ndarray) -> pa.Array:
 class Head:
     """The most frequent pre-tokens: two hashes of each, in order of the first, and their ids."""
 
-    def __init__(self, words: list[bytes], table: Table):
-        column = pa.array(words, pa.binary())
-        data, off = T.buffers(column)
-        h1, h2 = _hashes(data, off[:-1], off[1:])
-        order = np.argsort(h1, kind="stable")
+    def __init__(self, words: pa.Array, table: Table):
         encode = coder(table)
-        ids = [encode(words[k]) for k in order.tolist()]
+        ids, size, h1, h2 = array("I"), array("q", [0]), [np.empty(0, np.uint64)], [np.empty(0, np.uint32)]
+        for k in range(0, len(words), HASHED):  # hashing takes many times the room of the words
+            part = words.slice(k, HASHED)
+            data, off = T.buffers(part)
+            for of, to in zip(_hashes(data, off[:-1], off[1:]), (h1, h2), strict=True):
+                to.append(of)
+            for word in part.to_pylist():
+                one = encode(word)
+                ids.extend(one)
+                size.append(len(one))
+        h1, h2, at = np.concatenate(h1), np.concatenate(h2), np.cumsum(np.array(size))
+        order = np.argsort(h1, kind="stable")
         self.h1, self.h2 = h1[order], h2[order]
-        self.bounds = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int64)
-        self.ids = np.array([x for i in ids for x in i], np.uint32)
+        self.ids, self.bounds = gather(np.array(ids, np.uint32), at[order], at[order + 1])
 
     def find(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each pre-token, whether it is in the head, and where its ids begin and end."""
@@ -180,7 +189,7 @@ def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nd
     return T.Hasher(data, 1).ranges(start, end), (T.Hasher(data, 2).ranges(start, end) >> T.U(32)).astype(np.uint32)
 
 
-def frequent_words(docs: DataFrame, text: str, most: int) -> list[bytes]:
+def frequent_words(docs: DataFrame, text: str, most: int) -> pa.Array:
     """The most frequent pre-tokens, by lossy counting: batches send what occurs in them more than once.  They steer what is broadcast, never the result."""
 
     def count(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -190,7 +199,10 @@ def frequent_words(docs: DataFrame, text: str, most: int) -> list[bytes]:
         return pa.RecordBatch.from_arrays([_words(data, bounds, at), pa.array(n)], ["word", "n"])
 
     sums = shared.arrow_map(docs.select(text), count, "word binary, n long", shared.BATCH).groupBy("word").agg(F.sum("n").alias("n"))
-    return [bytes(r["word"]) for r in shared.most_counted(sums, most).select("word").collect()] if most else []
+    if not most:
+        return pa.array([], pa.binary())
+    # Arrow holds the words in a few bytes more than they have; rows would take the driver hundreds of bytes each
+    return shared.most_counted(sums, most).select("word").toArrow().column(0).cast(pa.binary()).combine_chunks()
 
 
 def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", head_words: int = HEAD_WORDS) -> DataFrame:
